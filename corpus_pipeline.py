@@ -1,24 +1,48 @@
-"""Corpus pipeline: stages applied one after another to ``documents``."""
+"""Corpus pipeline: toxicity, near duplicates, benchmark passages and personal data, then packing.
+
+Every stage works on all rows that its predecessor kept; all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sentria.llm.decontamination import drop_contaminated
+from sentria.llm import decontamination, near_dedup, packing, pii, toxicity
 from sentria.runtime import materialize, read_table
 
 
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the toxicity threshold."""
+    return toxicity.drop_toxic(docs, read_table(spark, sf_dir, "labels"))
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: 5-word shingles, similarity 0.8 or more."""
+    return near_dedup.drop_near_duplicates(docs)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark passage."""
-    return drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+    return decontamination.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data masked."""
+    return pii.mask_personal_data(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces in sequences of at most 1024."""
+    return packing.pack(docs)
 
 
-STAGES = [("decontaminate", decontaminate)]
+STAGES = [("toxicity", reject_toxic), ("near_dedup", keep_one_of_each_group), ("decontamination", decontaminate), ("pii", mask_private), ("packing", pack)]
+#: Learned scores and token ids are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

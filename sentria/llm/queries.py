@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sentria.llm import binary_output, decontamination
+from sentria.llm import binary_output, decontamination, near_dedup, packing, pii, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": decontamination.op1_decontamination,
+        "op2_toxicity": toxicity.op2_toxicity,
+        "op4_near_dedup": near_dedup.op4_near_dedup,
+        "op5_packing": packing.op5_packing,
         "op9_token_ids": binary_output.op9_token_ids,
+        "op10_pii": pii.op10_pii,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontamination.SQL}
+    return {"op1_decontamination": decontamination.SQL, "op4_near_dedup": near_dedup.SQL}
