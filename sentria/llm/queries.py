@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sentria.llm import binary_output, decontamination, html_extraction, license_scan, near_dedup, packing, pii, toxicity, vector_search
+from sentria.llm import binary_output, decontamination, html_extraction, license_scan, near_dedup, packing, pii, substring_dedup, toxicity, vector_search
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_packing": packing.op5_packing,
         "op6_html_extraction": html_extraction.op6_html_extraction,
         "op7_vector_search": vector_search.op7_vector_search,
+        "op8_substring_dedup": substring_dedup.op8_substring_dedup,
         "op9_token_ids": binary_output.op9_token_ids,
         "op10_pii": pii.op10_pii,
     }
