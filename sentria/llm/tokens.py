@@ -18,13 +18,16 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 END_ID = 0
 _ODD = re.compile(r"[\s\x1c-\x1f] [\s\x1c-\x1f]")
 _PLAIN = re.compile(r" ?[^\s\x1c-\x1f]+")
+#: Pieces of letters, common signs and single line feeds; each part is a pre-token of its own.
+_PART = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+|[.,;:!?*#$%&|()\-]+|\n")
+_PARTS = re.compile(r"(?: ?[A-Za-zÀ-ÖØ-öø-ÿ]+|[.,;:!?*#$%&|()\-]+|\n(?=[A-Za-zÀ-ÖØ-öø-ÿ]))+")
 _encoders: dict[str, PieceEncoder] = {}
 
 
 class PieceEncoder:
     """``encode_many(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, cache_limit: int = 500_000) -> None:
+    def __init__(self, path: str, cache_limit: int = 400_000, part_limit: int = 600_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -32,7 +35,8 @@ class PieceEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.cache: dict[str, bytes] = {"": b""}
-        self.cache_limit = cache_limit
+        self.parts: dict[str, bytes] = {}
+        self.cache_limit, self.part_limit = cache_limit, part_limit
         newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.newline = newline[0] if len(newline) == 1 else None
 
@@ -40,22 +44,48 @@ class PieceEncoder:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _learn(self, pieces: list[str]) -> None:
-        """Encode pieces that are not in the cache; plain ones go together, with line feeds between."""
-        plain = [p for p in pieces if self.newline is not None and _PLAIN.fullmatch(p)]
-        rest = set(pieces)
-        for at in range(0, len(plain), 4096):
-            part = plain[at : at + 4096]
-            ids = np.asarray(self.tokenizer.encode("\n".join(part), add_special_tokens=False).ids, dtype="<u4")
+        """Put pieces into the cache, from their parts where they fall into pre-tokens plainly."""
+        cache, known = self.cache, self.parts
+        single, divided, odd, fresh = [], [], [], set()
+        for p in pieces:
+            if p.isalpha() or p[1:].isalpha() and p[0] == " ":
+                single.append(p)
+            elif _PARTS.fullmatch(p):
+                parts = _PART.findall(p)
+                divided.append((p, parts))
+                fresh.update(parts)
+            else:
+                odd.append(p)
+        fresh.update(single)
+        plain = [x for x in fresh if x not in known]
+        whole = "\n" in plain
+        if whole:
+            plain.remove("\n")
+            known["\n"] = self._direct("\n")
+        self._encode(plain, known)
+        for p in single:
+            cache[p] = known[p]
+        for p, parts in divided:
+            cache[p] = b"".join([known[x] for x in parts])
+        self._encode([p for p in odd if _PLAIN.fullmatch(p)], cache)
+        for p in odd:
+            if p not in cache:
+                cache[p] = self._direct(p)
+        if len(known) > self.part_limit:
+            known.clear()
+
+    def _encode(self, pieces: list[str], into: dict[str, bytes]) -> None:
+        """Encode pieces without white space, but for a blank in front: together, with line feeds between."""
+        groups = [pieces[at : at + 4096] for at in range(0, len(pieces), 4096)]
+        joined = self.tokenizer.encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False) if groups and self.newline is not None else []
+        for group, got in zip(groups, joined or [None] * len(groups), strict=True):
+            ids = np.asarray(got.ids if got else [], dtype="<u4")
             cuts = np.flatnonzero(ids == self.newline)
-            if len(cuts) != len(part) - 1:
-                continue
-            raw, begin = ids.tobytes(), 0
-            for piece, end in zip(part, [*(cuts * 4).tolist(), len(raw)], strict=True):
-                self.cache[piece] = raw[begin:end]
-                begin = end + 4
-            rest.difference_update(part)
-        for p in rest:
-            self.cache[p] = self._direct(p)
+            if got and len(cuts) == len(group) - 1:
+                raw, ends = ids.tobytes(), [*(cuts * 4).tolist(), 4 * len(ids)]
+                into.update(zip(group, [raw[a:b] for a, b in zip([0, *[e + 4 for e in ends[:-1]]], ends, strict=True)], strict=True))
+            else:
+                into.update((p, self._direct(p)) for p in group)
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         cache = self.cache
