@@ -318,13 +318,13 @@ class _Line:
             return end if nxt.isupper() and re.search(r"(?:\s\.){3}\s\Z", s[max(0, a - 8) : a]) else None
         word, start = self._token(a)
         low = word.lower()
-        line_start = start <= self.begin
+        line_start = start <= self.begin or start - self.begin < 4 and not s[self.begin : start].strip("•⁃ ")
         if before == "°" and nxt.isdigit():
             return None
         if before.isdigit():
             if line_start and re.fullmatch(r"\d{1,2}", word):
                 return None
-            if p.ordinals and re.fullmatch(r"-?[1-9]?\d", word) and s[start - 1 : start].isspace():
+            if p.ordinals and re.fullmatch(r"-?[1-9]?\d", word) and (s[start - 1 : start].isspace() or s[start - 1 : start] == "-"):
                 return None
             if p.months and nxt and re.match(r"\w+", s[at : at + _AHEAD]) and re.match(r"\w+", s[at : at + _AHEAD])[0].lower() in p.months:
                 return None
@@ -339,6 +339,8 @@ class _Line:
             return None
         if len(word) == 1 and word.isalpha() and re.match(r"\s[^\W\d_]\.(?=\s|$|,)", rest) and (word.islower() or rest[1].isupper()):
             return None  # letters spaced out: "s. r. o."
+        if p.lower_initials and len(word) == 1 and word.islower() and word.isalpha():
+            return None
         kind = self._short_before(a)
         if not kind:
             return end

@@ -4,16 +4,277 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from sentria import registry
+from sentria.functions import clean as c
+from sentria.functions import sentences as s
+from sentria.operators import corpus, scoring
+from sentria.runtime import read_table
+from sentria.streaming.sentences import replay_sentences
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "documents")
+
+
+def _rows(spark: SparkSession, sf_dir: str, mode: str = "balanced") -> DataFrame:
+    return corpus.explode_sentences(_docs(spark, sf_dir), language=F.col("lang"), mode=mode)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    return corpus.sentence_statistics(_docs(spark, sf_dir), F.col("lang"))
+
+
+def explode_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rows(spark, sf_dir)
+
+
+def roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = _docs(spark, sf_dir).select("doc_id", s.sentence_spans("text", F.col("lang")).alias("spans"))
+    return spans.select("doc_id", F.array_join(F.transform("spans", lambda x: x["sent"]), "").alias("text"))
+
+
+def tiling_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = _docs(spark, sf_dir).select("doc_id", s.sentence_spans("text", F.col("lang")).alias("spans"))
+    total = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    return spans.select("doc_id", total.alias("total"), F.coalesce(F.array_min(F.transform("spans", lambda x: x["start"])), F.lit(0)).cast("long").alias("first_start"), F.coalesce(F.array_max(F.transform("spans", lambda x: x["end"])), F.lit(0)).cast("long").alias("last_end"))
+
+
+def tiling_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = Window.partitionBy("doc_id").orderBy("sent_id")
+    gaps = _rows(spark, sf_dir).withColumn("before", F.lag("end").over(order)).where("before is not null and before <> start or sent_id = 0 and start <> 0")
+    return gaps.agg(F.count("*").alias("n_violations"))
+
+
+def projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir).select(s.sentences("text", F.col("lang")).alias("a"), s.sentence_spans("text", F.col("lang")).alias("b"))
+    bare = F.transform("b", lambda x: F.regexp_replace(x["sent"], rf"\A[\s{c.ZERO_WIDTH}]+|[\s{c.ZERO_WIDTH}]+\z", ""))
+    return docs.where(F.col("a") != F.filter(bare, lambda x: x != "")).agg(F.count("*").alias("n_mismatches"))
+
+
+def hard_newlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.hard_segments(_docs(spark, sf_dir))
+
+
+def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read_table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("stream_id"), F.col("turn").alias("seq"), F.concat(F.coalesce("text", F.lit("")), F.lit("\n")).alias("delta"))
+    out = replay_sentences(turns)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "sent"))), lambda x: x["sent"]), "")
+    return out.groupBy("stream_id").agg(joined.alias("text")).withColumnRenamed("stream_id", "conv_id")
+
+
+def stream_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read_table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("stream_id"), F.col("turn").alias("seq"), F.concat("text", F.lit("\n")).alias("delta"))
+    return replay_sentences(turns, buffering="aggressive", max_buffer_size=4096)
+
+
+def split_mode_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return docs.select("doc_id", *[F.size(s.sentences("text", F.col("lang"), mode)).alias(mode) for mode in ("conservative", "balanced", "aggressive")])
+
+
+def should_wait(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "conversations").select("conv_id", "turn", s.should_wait("text").alias("should_wait"))
+
+
+def lookahead(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", s.sentences_lookahead("text").alias("x"))
+    return found.select("conv_id", "turn", F.size("x.segments").alias("n_segments"), "x.should_wait_for_more")
+
+
+def protected_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "benchmark").select("item_id", s.protected_periods("text").alias("places"))
+
+
+def sentences_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "pages").select("page_id", F.size(s.sentences_clean("html")).alias("n_sentences"))
+
+
+def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", c.clean_text("text").alias("text"))
+
+
+def clean_pdf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", c.clean_text("text", "pdf").alias("text"))
+
+
+def clean_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "pages").select("page_id", c._column(F.col("html"), c.TAGS[:1]).alias("text"))
+
+
+def clean_escapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", c.escapes(F.replace("text", F.lit(" a"), F.lit("\\n"))).alias("text"))
+
+
+def clean_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", c.plain_quotes(F.translate("text", ".,", "`'")).alias("text"))
+
+
+def clean_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", c._column(F.regexp_replace("text", "[*&%$#]", "./"), c.REPEATED).alias("text"))
+
+
+def strip_zero_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", c.strip_zero_width(F.concat(F.lit("​ "), "text", F.lit(" ‍"))).alias("text"))
+
+
+def terminal_mark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", c.terminal_mark("text").alias("mark"))
+
+
+def number_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", F.regexp_count("text", F.lit(r"[0-9]\.[0-9]")).cast("long").alias("n"))
+
+
+def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    doubled = _docs(spark, sf_dir).select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    return corpus.paragraphs(doubled)
+
+
+def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.context_window(_rows(spark, sf_dir))
+
+
+def longest_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.longest_sentences(_rows(spark, sf_dir), 20)
+
+
+def repeated_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.repeated_sentences(_rows(spark, sf_dir))
+
+
+def sentence_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token annotation: how many tokens of each conversation turn start a sentence."""
+    turns = read_table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    words = F.split("text", " ", -1)
+    sizes = F.transform(words, lambda w: F.length(w) + 1)
+    places = F.transform(words, lambda w, i: F.struct(i.alias("token_id"), F.aggregate(F.slice(sizes, 1, i), F.lit(0), lambda a, x: a + x).alias("idx"), w.alias("token")))
+    tokens = turns.select("doc_id", F.inline(F.filter(places, lambda x: x["token"] != "")))
+    marked = corpus.tokens_with_sentence_starts(tokens, corpus.explode_sentences(turns))
+    return marked.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.sum(F.col("is_sent_start").cast("int")).alias("n_starts"))
+
+
+def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registry.languages(spark).select("code", "family")
+
+
+def lexicon_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registry.lexicon(spark).groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.col("is_prepositive").cast("long")).alias("n_prepositive"), F.sum(F.col("is_number").cast("long")).alias("n_number"))
+
+
+_HINDI = ["सच हो | झूठ हो! क्या? अंत", "एक। दो। तीन"]
+
+
+def script_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = spark.createDataFrame(list(enumerate(_HINDI)), "id int, text string")
+    return df.select("id", F.posexplode(s.sentences("text", "hi")).alias("pos", "sent"))
+
+
+_UNITS = [
+    ("a", "x", "en", ["One.", "Two."], ["One.", "Two."]),
+    ("a", "x", "de", ["One. Two."], ["One.", "Two."]),
+    ("a", "y", "en", ["One.", "Two.", "Three."], ["One.", "Two. Three."]),
+    ("b", "x", "en", ["One.", "Two. Three."], ["One. Two.", "Three."]),
+    ("b", "y", "de", ["Same."], ["Same."]),
+]
+
+
+def _units(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_UNITS, "segmenter string, corpus string, lang string, pred array<string>, gold array<string>")
+
+
+def boundary_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _units(spark).select("segmenter", "corpus", "lang", scoring.exact_match("pred", "gold").alias("em"), scoring.boundary_scores("pred", "gold").getField("f1").alias("f1"))
+
+
+def scoreboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.scoreboard(_units(spark))
+
+
+def divergences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    modes = ("conservative", "aggressive")
+    units = docs.select(F.col("doc_id").alias("unit_id"), F.explode(F.array(*[F.struct(F.lit(m).alias("segmenter"), s.sentences("text", F.col("lang"), m).alias("pred")) for m in modes])).alias("u")).select("unit_id", "u.*")
+    return scoring.divergences(units, 50)
+
+
+def mode_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the aggressive mode with the balanced one as gold, by language."""
+    docs = _docs(spark, sf_dir)
+    units = docs.select(F.lit("aggressive").alias("segmenter"), F.col("source").alias("corpus"), "lang", s.sentences("text", F.col("lang"), "aggressive").alias("pred"), s.sentences("text", F.col("lang")).alias("gold"))
+    return scoring.scoreboard(units)
+
+
+def gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = spark.createDataFrame([("all", 0.75, 0.93), ("golden", 0.90, 0.99)], "bucket string, exact_match double, boundary_f1 double")
+    base = spark.createDataFrame([("all", 0.76, 0.94), ("golden", 0.979, 0.996)], "bucket string, exact_match double, boundary_f1 double")
+    return scoring.gate(scores, base).select("bucket")
+
+
+def snapshot_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bench = read_table(spark, sf_dir, "benchmark").select(F.lit("en").alias("lang"), F.coalesce("text", F.lit("")).alias("input"))
+    return scoring.snapshot_difference(bench.select("*", s.sentences("input").alias("sents")), bench.select("*", s.sentences("input").alias("sents"))).agg(F.count("*").alias("n_changed"))
+
+
+def latency_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.latency_statistics(read_table(spark, sf_dir, "events").where("value is not null"), "event_type", "value").select("event_type", F.round("mean", 6).alias("mean"), F.round("median", 6).alias("median"), F.round("p95", 6).alias("p95"), F.round("p99", 6).alias("p99"))
+
+
+def queries() -> dict[str, Query]:
+    return {f.__name__: f for f in (explode_sentences, roundtrip, tiling_length, tiling_violations, projection, hard_newlines, stream_replay, stream_sentences, split_mode_compare, should_wait, lookahead, protected_periods, sentences_clean, clean_text, clean_pdf, clean_html, clean_escapes, clean_quotes, clean_repeated, strip_zero_width, terminal_mark, number_periods, paragraphs, context_window, longest_sentences, repeated_sentences, sentence_starts, languages, lexicon_statistics, script_sentences, boundary_f1, scoreboard, divergences, mode_agreement, gate, snapshot_difference, latency_statistics)} | {"sentence_statistics": flagship}
+
+
+def _values(rows: list[tuple]) -> str:
+    quote = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
+    return ", ".join("(" + ", ".join(quote(v) for v in row) + ")" for row in rows)
+
+
+def _lists(rows: list[tuple]) -> str:
+    item = lambda v: "[" + ", ".join(f"'{x}'" for x in v) + "]" if isinstance(v, list) else f"'{v}'"
+    return ", ".join("(" + ", ".join(item(v) for v in row) + ")" for row in rows)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+_BOUNDS = "list_transform(range(1, len({0})), lambda k: length(array_to_string({0}[1:k], '')))"
+_SCORED = f"""
+WITH u AS (SELECT segmenter, corpus, lang, pred, gold, list_transform(pred, lambda x: regexp_replace(x, '\\s+', '', 'g')) AS p, list_transform(gold, lambda x: regexp_replace(x, '\\s+', '', 'g')) AS g FROM (VALUES {{0}}) AS v(segmenter, corpus, lang, pred, gold)),
+b AS (SELECT *, {_BOUNDS.format('p')} AS pb, {_BOUNDS.format('g')} AS gb FROM u),
+r AS (SELECT *, CASE WHEN len(pb) > 0 THEN len(list_intersect(pb, gb)) / len(pb) ELSE 1.0 END AS pr, CASE WHEN len(gb) > 0 THEN len(list_intersect(pb, gb)) / len(gb) ELSE 1.0 END AS re FROM b),
+f AS (SELECT segmenter, corpus, lang, pred = gold AS em, CASE WHEN array_to_string(p, '') <> array_to_string(g, '') THEN NULL WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 1.0 END AS f1 FROM r)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    langs = [(code, p.family) for code, p in sorted(registry.LANGUAGE_CODES.items())]
+    words = []
+    for code, p in sorted(registry.LANGUAGE_CODES.items()):
+        every = p.short | p.before_name | p.before_number
+        words.append((code, len(every), len(p.before_name), len(p.before_number)))
+    space = "[ \\t\\n\\x0b\\f\\r]"
+    return {
+        "roundtrip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+        "tiling_length": "SELECT doc_id, CAST(length(coalesce(text, '')) AS BIGINT) AS total, CAST(0 AS BIGINT) AS first_start, CAST(length(coalesce(text, '')) AS BIGINT) AS last_end FROM documents",
+        "tiling_violations": "SELECT CAST(0 AS BIGINT) AS n_violations",
+        "projection": "SELECT CAST(0 AS BIGINT) AS n_mismatches",
+        "hard_newlines": "SELECT doc_id, CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[\\n\\r]'), lambda x: x <> '')) AS BIGINT) AS n_pieces FROM documents",
+        "stream_replay": "SELECT conv_id, string_agg(coalesce(text, '') || chr(10), '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id",
+        "clean_html": "SELECT page_id, regexp_replace(html, '</?[\\p{L}\\p{N}_]+(?:\"[^\"]*\"|''[^'']*''|[^<>\"''])*>', '', 'g') AS text FROM pages",
+        "clean_escapes": "SELECT doc_id, replace(replace(replace(replace(replace(text, ' a', '\\n'), '\\n', chr(10)), '\\r', chr(13)), '\\ n', chr(10)), '\\ r', chr(13)) AS text FROM documents",
+        "clean_quotes": "SELECT doc_id, replace(replace(translate(text, '.,', '`'''), '`', ''''), '''''', '\"') AS text FROM documents",
+        "clean_repeated": "SELECT doc_id, replace(regexp_replace(regexp_replace(text, '[*&%$#]', './', 'g'), '\\.{5,}', ' ', 'g'), '///', '') AS text FROM documents",
+        "strip_zero_width": "SELECT doc_id, ' ' || text || ' ' AS text FROM documents",
+        "terminal_mark": f"SELECT doc_id, nullif(regexp_extract(text, '([。．.！!?？])(?:[\"''”’»)\\]}}」』】）》›]|{space[:-1]}{c.ZERO_WIDTH}])*$', 1), '') AS mark FROM documents",
+        "number_periods": "SELECT doc_id, CAST(len(regexp_extract_all(text, '[0-9]\\.[0-9]')) AS BIGINT) AS n FROM documents",
+        "paragraphs": "SELECT doc_id, CAST(i - 1 AS INTEGER) AS paragraph_id, p[i] AS paragraph FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(replace(coalesce(text, ''), chr(10), chr(10) || chr(10)), '\\n\\s*\\n'), lambda x: trim(x)), lambda x: length(x) BETWEEN 40 AND 2000) AS p FROM documents))",
+        "languages": f"SELECT * FROM (VALUES {_values(langs)}) AS v(code, family)",
+        "lexicon_statistics": f"SELECT lang, CAST(n AS BIGINT) AS n, CAST(a AS BIGINT) AS n_prepositive, CAST(b AS BIGINT) AS n_number FROM (VALUES {_values(words)}) AS v(lang, n, a, b)",
+        "script_sentences": f"SELECT id, CAST(i - 1 AS INTEGER) AS pos, trim(x[i]) AS sent FROM (SELECT id, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT id, list_filter(regexp_extract_all(text, '[^।|!?]*[।|!?]|[^।|!?]+$'), lambda y: trim(y) <> '') AS x FROM (VALUES {_values(list(enumerate(_HINDI)))}) AS v(id, text)))",
+        "boundary_f1": _SCORED.format(_lists(_UNITS)) + "SELECT segmenter, corpus, lang, em, CAST(f1 AS DOUBLE) AS f1 FROM f",
+        "scoreboard": _SCORED.format(_lists(_UNITS)) + "SELECT segmenter, corpus, lang, count(*) AS n, avg(CAST(em AS INTEGER)) AS exact_match, avg(CAST(f1 AS DOUBLE)) AS boundary_f1 FROM f GROUP BY GROUPING SETS ((segmenter), (segmenter, corpus), (segmenter, lang))",
+        "gate": "SELECT 'golden' AS bucket",
+        "snapshot_difference": "SELECT CAST(0 AS BIGINT) AS n_changed",
+        "latency_statistics": "SELECT event_type, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events WHERE value IS NOT NULL GROUP BY event_type",
+    }
