@@ -38,6 +38,7 @@ _BOILER = frozenset("nav footer aside form menu dialog button fieldset head inpu
 _BOILER_CLASS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner menu nav navbar navigation sidebar sidenav footer header masthead cookie cookies consent gdpr notice notification alert newsletter subscribe subscription comment comments reply replies disqus related recommended share sharing social breadcrumb breadcrumbs pagination pager popup modal overlay widget toolbar login signup search hidden".split())
 _BOILER_ROLE = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar toolbar".split())
 _ROOT = frozenset(("article", "main"))
+_CONTAINERS = frozenset("article body center div html main section table td".split())
 _HOST = re.compile(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)")
 Block = tuple[tuple[str, ...], str, bool, bool]
 
@@ -145,7 +146,7 @@ def page_tokens(page: str | None) -> tuple[Counter, dict[int, int], dict[int, tu
         for n in range(1, len(path) + 1):
             key = _hash("path", *path[:n])
             keys.append(key)
-            if not boiler:
+            if not boiler and path[n - 1].split(".")[0] in _CONTAINERS:
                 held[key] = (n, held.get(key, (n, 0))[1] + len(text))
         for key in keys:
             counts[key] += 1
@@ -194,11 +195,11 @@ def deduce_templates(pages: DataFrame, least_pages: int = 3, least_share: float
     # equivalence classes: tokens of one occurrence vector; large enough ones are the template's
     classes = kept.groupBy("host", "vector").agg(F.count("*").alias("size"), F.collect_list(F.struct("token", "n", "n_pages", "depth", "held", (F.col("place") / F.col("n_pages")).alias("at"))).alias("members"))
     members = classes.select("host", "vector", "size", F.explode("members").alias("m")).select("host", "vector", "size", "m.*")
-    text = F.sort_array(F.collect_set(F.when(F.col("depth") == 0, F.col("token"))))
+    text = F.sort_array(F.collect_set(F.when(F.col("held") == 0, F.col("token"))))
     # the article slot: the deepest path that holds most of the text outside boilerplate
     most = F.max("held")
     by_host = members.groupBy("host").agg(text.alias("text_tokens"), most.alias("most"))
-    paths = members.where("depth > 0").join(by_host.select("host", "most"), "host").where("held >= 0.6 * most")
+    paths = members.where("held > 0").join(by_host.select("host", "most"), "host").where("held >= 0.75 * most")
     slots = paths.groupBy("host").agg(F.max_by("token", F.struct("depth", "held", "token")).alias("article_path"))
     return materialize(by_host.select("host", "text_tokens").join(slots, "host", "left"), "templates")
 
