@@ -53,7 +53,7 @@ def best_pattern(values: np.ndarray, lengths: np.ndarray, capacity: int) -> tupl
     return float(best[capacity]), dict(out)
 
 
-def solve(demand: dict[int, int], capacity: int = CAPACITY, most_steps: int = 800, gap: float = 5e-4) -> list[tuple[Pattern, float]]:
+def solve(demand: dict[int, int], capacity: int = CAPACITY, most_steps: int = 1200, gap: float = 1e-3) -> list[tuple[Pattern, float]]:
     """Column generation for the linear program: patterns and how often each is used."""
     lengths = np.array(sorted(demand), dtype=np.int64)
     m = len(lengths)
@@ -105,13 +105,17 @@ def plan(demand: dict[int, int], capacity: int = CAPACITY, most_padding: int = 8
             for k, n in pattern.items():
                 left[k] -= times * n
 
-    solved = solve(dict(left), capacity)
+    # complementary lengths fill a sequence without padding, so these columns are optimal; the program is for the rest
+    for x in sorted(left):
+        if 2 * x <= capacity and left[capacity - x]:
+            take({x: 1, capacity - x: 1} if 2 * x < capacity else {x: 2}, left[x])
+    solved = solve({k: v for k, v in left.items() if v > 0}, capacity)
     for pattern, times in sorted(solved, key=lambda s: -sum(k * n for k, n in s[0].items())):
         take(pattern, int(times + 1e-7))
     # what rounding left: best-fit over the few rests that remain, as long as patterns fill a sequence
     for pattern, times in sorted(solved, key=lambda s: -s[1]):
         take(pattern, 1)
-    for _ in range(4 * capacity):
+    for _ in range(capacity):
         lengths = np.array(sorted(k for k, v in left.items() if v > 0), dtype=np.int64)
         if not len(lengths):
             break
@@ -225,7 +229,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAP
 
     loose = dealt.where("each = 0").select("bucket", "length", "k", "first", (F.col("at") + j * F.col("length")).alias("position"))
     loose = materialize(loose, "loose-pieces")
-    if sum(cut.values()) <= 100_000:
+    if sum(cut.values()) <= 500_000:
         loose = F.broadcast(loose)  # 40 bytes a row
     ids = pieces.where(F.col("length") < capacity).join(loose, ["bucket", "length", "k"])
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
