@@ -8,15 +8,15 @@ SPLIT_MODES = ("conservative", "balanced", "aggressive")
 BUFFERING_MODES = ("conservative", "balanced", "aggressive")
 
 
-class SentenceSplitError(Exception):
+class SegmentationError(Exception):
     """Any error of this library."""
 
 
-class InvalidConfigurationError(SentenceSplitError, ValueError):
+class InvalidConfigurationError(SegmentationError, ValueError):
     """An option has a value it must not have."""
 
 
-class UnknownLanguageError(SentenceSplitError, ValueError):
+class UnknownLanguageError(SegmentationError, ValueError):
     """No language is registered under a code."""
 
 

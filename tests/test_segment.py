@@ -9,7 +9,7 @@ import pytest
 from sentria.api import Segmenter, StreamSegmenter, TextSpan
 from sentria.kernel import segment
 from sentria.kernel.profiles import BUILT_IN
-from sentria.options import InvalidConfigurationError, SentenceSplitError, UnknownLanguageError
+from sentria.options import InvalidConfigurationError, SegmentationError, UnknownLanguageError
 from sentria.registry import LANGUAGE_CODES, list_languages, register_language, unregister_language
 
 GOLDEN = [
@@ -69,7 +69,7 @@ def test_options_are_checked_eagerly():
         Segmenter(doc_type="pdf")
     with pytest.raises(UnknownLanguageError) as e:
         Segmenter("xx")
-    assert isinstance(e.value, SentenceSplitError) and isinstance(e.value, ValueError)
+    assert isinstance(e.value, SegmentationError) and isinstance(e.value, ValueError)
     with pytest.raises(InvalidConfigurationError):
         StreamSegmenter(clean=True)
 
