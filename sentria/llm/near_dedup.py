@@ -7,9 +7,10 @@ bounds (Dahlgaard, Knudsen and Thorup, 2017). Coordinates are grouped into bands
 links are confirmed on the full sets. At the threshold 0.8, 40 bands of 5 coordinates miss a pair with probability
 (1 - 0.8^5)^40 = 1.3e-7.
 
-Equal sets are one class first. In a band's bucket every class meets the bucket's centre, not every other class; then, in
-rounds, classes that are still in different components of a bucket meet other centres, and at last one another.
-So buckets of copies cost links in proportion to their size, and no confirmed link between different texts is lost.
+Equal sets are one class first. In a band's bucket every class meets the bucket's centre, not every other class; large
+buckets that still hold several components meet two more centres. What is then apart is searched exactly: in
+small buckets class by class, in large ones by an exact prefix and position bound on the sets, which edited copies with many
+shingles of their own never pass. No confirmed link between different texts is lost.
 
 Defined results: a null or empty text (or one without words) has no shingle, is linked with nothing and kept; a null
 doc_id is linked with nothing, has a null component and is kept; rows that repeat a doc_id have a row each.
@@ -27,6 +28,8 @@ from sentria.llm.tokens import text_groups
 from sentria.runtime import materialize, read_table, release, ship
 
 BANDS, ROWS = 40, 5
+#: Buckets of up to so many classes are searched directly.
+SMALL = 30
 _U = np.uint64
 
 
@@ -126,7 +129,37 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.where(100 * common >= percent * (F.size("a") + F.size("b") - common)).select("u", "v")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, bands: int = BANDS, rows: int = ROWS, centre_rounds: int = 3) -> DataFrame:
+def _apart(state: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components in small buckets, each in its first common band."""
+    rest = state.join(classes.select("rep", "bands"), "rep")
+    a = rest.select("key", F.col("rep").alias("u"), F.col("n").alias("nu"), F.col("component").alias("cu"), F.col("bands").alias("bu"), "band")
+    b = rest.select("key", F.col("rep").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"), F.col("bands").alias("bv"))
+    first = F.array_position(F.zip_with("bu", "bv", lambda x, y: x == y), True) == F.col("band") + 1
+    apart = (F.col("cu") < F.col("cv")) & (100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")) & first
+    return a.join(b, (a["key"] == b["key"]) & apart).select("u", "v")
+
+
+def _by_prefix(wide: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that can still be links, among the classes ``wide(rep, n, component)``.
+
+    With a set's items in ascending order of frequency, two sets of the wanted similarity share one of their first
+    n - ceil(percent * n / 100) + 1 items, and what stands before the first shared one is missing in the other. Both bounds are
+    exact. Classes whose rare items are their own, as edited copies have, meet nobody.
+    """
+    items = sets.join(wide, "rep").select("rep", "n", "component", F.explode("items").alias("item"))
+    common = items.groupBy("item").agg(F.count("*").alias("df"))
+    common = materialize(common, "item-counts")
+    ordered = items.join(common, "item").groupBy("rep", "n", "component").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("x"))
+    prefix = F.slice("x", 1, (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
+    entries = ordered.select("rep", "n", "component", F.posexplode(prefix).alias("place", "y")).select("rep", "n", "component", "place", "y.item", "y.df").where("df > 1").drop("df")
+    entries = materialize(entries, "prefixes")
+    a = entries.select("item", F.col("rep").alias("u"), F.col("n").alias("nu"), F.col("component").alias("cu"), F.col("place").alias("pu"))
+    b = entries.select("item", F.col("rep").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"), F.col("place").alias("pv"))
+    enough = (100 + percent) * F.least(F.col("nu") - F.col("pu"), F.col("nv") - F.col("pv")) >= percent * (F.col("nu") + F.col("nv"))
+    return a.join(b, (a["item"] == b["item"]) & (F.col("cu") < F.col("cv")) & enough).select("u", "v")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, bands: int = BANDS, rows: int = ROWS, centre_rounds: int = 3, small: int = SMALL) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest reachable doc_id) and kept, for each row of ``docs(doc_id, text)``."""
     spark = docs.sparkSession
     ship(spark)
@@ -135,47 +168,56 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, bands:
     linked = described.where("n > 0 and doc_id is not null")
     classes = materialize(linked.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")), "classes")
     entries = classes.select("rep", "n", F.posexplode("bands").alias("band", "key"))
-    shared = entries.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most")
-    # members of buckets with several classes, each with all its bands: a pair is met in its first common band only
-    shared = materialize(shared.select("key"), "buckets")
-    members = materialize(entries.join(shared, "key"), "members")
+    shared = entries.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most"), F.count("*").alias("size")).where("least < most")
+    members = materialize(entries.join(materialize(shared.select("key", "size"), "buckets"), "key"), "members")
     wanted = members.select("rep").distinct().join(classes.select("rep", "k1"), "rep")
     sets = materialize(_sets(docs, wanted, shingle), "sets")
-    links = tested = labels = None
+    found_links: list[DataFrame] = []
+    spent: list[DataFrame] = []
+    tested = labels = None
     state = members.withColumn("component", F.col("rep"))
-    spent = []
+
+    def untested(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        return materialize(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"), name)
+
+    def relabelled(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+        found_links.append(found)
+        links = found_links[0]
+        for x in found_links[1:]:
+            links = links.union(x)
+        new = components(links)
+        named = members.join(new.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        return new, materialize(named, "state")
+
     for step in range(centre_rounds):
+        # first every bucket; then other centres for the large buckets that still hold several components
         order = F.col("rep") if step == 0 else F.xxhash64("rep", F.lit(step))
-        centres = state.groupBy("key").agg(F.min_by("rep", order).alias("centre"), F.min_by("n", order).alias("m"), F.min_by("component", order).alias("middle"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").drop("lo", "hi")
+        here = state if step == 0 else state.where(F.col("size") > small)
+        centres = here.groupBy("key").agg(F.min_by("rep", order).alias("centre"), F.min_by("n", order).alias("m"), F.min_by("component", order).alias("middle"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").drop("lo", "hi")
         centres = materialize(centres, "centres")
         spent.append(centres)
         if centres.isEmpty():
             break
-        met = state.join(centres, "key").where("component <> middle").where(f"100 * least(n, m) >= {percent} * greatest(n, m)")
-        pairs = met.select(F.greatest("rep", "centre").alias("u"), F.least("rep", "centre").alias("v")).distinct()
-        pairs = materialize(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
+        met = here.join(centres, "key").where("component <> middle").where(f"100 * least(n, m) >= {percent} * greatest(n, m)")
+        pairs = untested(met.select(F.col("rep").alias("u"), F.col("centre").alias("v")), "pairs")
         tested = pairs if tested is None else tested.union(pairs)
-        found = materialize(_confirmed(pairs, sets, percent), "confirmed")
-        if found.isEmpty():
-            continue
-        links = found if links is None else links.union(found)
-        labels = components(links)
-        state = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        state = materialize(state, "state")
         spent.append(pairs)
-    # whatever is still apart in a bucket: all pairs of different components, in their first common band
-    open_ = materialize(state.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"), "open")
-    rest = state.join(open_, "key").join(classes.select("rep", "bands"), "rep")
-    a = rest.select("key", F.col("rep").alias("u"), F.col("n").alias("nu"), F.col("component").alias("cu"), F.col("bands").alias("bu"), "band")
-    b = rest.select("key", F.col("rep").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"), F.col("bands").alias("bv"))
-    first = F.array_position(F.zip_with("bu", "bv", lambda x, y: x == y), True) == F.col("band") + 1
-    apart = (F.col("cu") < F.col("cv")) & (100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")) & first
-    pairs = a.join(b, (a["key"] == b["key"]) & apart).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    pairs = materialize(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"), "rest")
-    if labels is None or not pairs.isEmpty():
-        found = _confirmed(pairs, sets, percent)
-        labels = components(found if links is None else links.union(found))
-    release(sets, open_, *spent)
+        found = materialize(_confirmed(pairs, sets, percent), "confirmed")
+        if not found.isEmpty():
+            labels, state = relabelled(found)
+    # what is still apart: within small buckets directly, within large ones by the prefixes of the sets
+    open_ = state.where("size > 2").groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    rest = materialize(state.join(open_, "key"), "open")
+    pairs = _apart(rest.where(F.col("size") <= small), classes, percent)
+    wide = materialize(rest.where(F.col("size") > small).select("rep", "n", "component").distinct(), "wide")
+    if not wide.isEmpty():
+        pairs = pairs.union(_by_prefix(wide, sets, percent))
+    pairs = untested(pairs, "rest")
+    found = materialize(_confirmed(pairs, sets, percent), "confirmed")
+    if labels is None or not found.isEmpty():
+        labels, state = relabelled(found)
+    release(sets, rest, wide, pairs, *spent)
     named = classes.select("k1", "k2", "n", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component_id"))
     named = materialize(named, "named")
     rows_ = described.select("doc_id", "k1", "k2", "n").where("n > 0 and doc_id is not null").join(named, ["k1", "k2", "n"], "left")
