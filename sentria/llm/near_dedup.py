@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from sentria.llm.components import components
 from sentria.llm.hashing import SPACED, Words, mix
-from sentria.llm.tokens import text_groups
+from sentria.llm.tokens import forget, text_groups
 from sentria.runtime import materialize, read_table, release, ship
 
 BANDS, ROWS = 40, 5
@@ -88,9 +88,10 @@ def _described(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
     def run(batches):
         import pyarrow as pa
 
+        forget()
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in text_groups(texts, 4_000_000):
+            for a, b in text_groups(texts, 1_500_000):
                 sets = shingle_sets(texts[a:b], shingle)
                 found = band_keys(sketches(sets, bands * rows), bands, rows)
                 with np.errstate(over="ignore"):
@@ -110,7 +111,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
 
         for batch in batches:
             rows = batch.to_pydict()
-            for a, b in text_groups(rows["text"], 4_000_000):
+            for a, b in text_groups(rows["text"], 1_500_000):
                 sets = shingle_sets(rows["text"][a:b], shingle)
                 with np.errstate(over="ignore"):
                     same = [int(mix(s).sum(dtype=np.uint64).astype(np.int64)) == k for s, k in zip(sets, rows["k1"][a:b], strict=True)]

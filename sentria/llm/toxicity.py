@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentria.llm.tokens import text_groups
+from sentria.llm.tokens import forget, text_groups
 from sentria.runtime import materialize, read_table, release, ship
 
 SAMPLE = 8000
@@ -160,7 +160,7 @@ class Matcher:
             known[t] = self.kind(t)
         marked = {t for t in set(tokens) if known[t]}
         out = [(i, *known[t]) for i, t in enumerate(tokens) if t in marked] if marked else []
-        if len(known) > 400_000:
+        if len(known) > 200_000:
             known.clear()
         return out
 
@@ -342,6 +342,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        forget()
         matcher = model.lexicon.matcher()
         for batch in batches:
             texts = batch.column(place).to_pylist()
