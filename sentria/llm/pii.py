@@ -106,16 +106,17 @@ def _features(text: str, begin: int, end: int, kind: str, cue: str) -> list[str]
     return out
 
 
-def regions(text: str) -> list[tuple[int, int]]:
-    """Stretches that can hold an entity: around number runs of at least 7 digits, and around written-out addresses."""
+def regions(text: str, begin: int = 0, end: int | None = None) -> list[tuple[int, int]]:
+    """Stretches of text[begin:end] that can hold an entity: around number runs of at least 7 digits, and around written-out addresses."""
     found = []
-    if _DIGIT.search(text):
-        found += [(m.start(), m.end()) for m in _NUMBER_RUN.finditer(text) if m.end() - m.start() >= 7 and len(_DIGIT.findall(m[0])) >= 7]
-    lowered = text.lower()
+    end = len(text) if end is None else end
+    if _DIGIT.search(text, begin, end):
+        found += [(m.start(), m.end()) for m in _NUMBER_RUN.finditer(text, begin, end) if m.end() - m.start() >= 7 and len(_DIGIT.findall(m[0])) >= 7]
+    lowered = text[begin:end].lower()
     if any(w in lowered for w in ("(at)", "[at]", "{at}", "<at>", " at ", "arroba", "chez")):
-        for m in _AT.finditer(text):
-            left = max(0, m.start() - 64)
-            for x in _WORDY_MAIL.finditer(text, left, min(len(text), m.end() + 128)):
+        for m in _AT.finditer(text, begin, end):
+            left = max(begin, m.start() - 64)
+            for x in _WORDY_MAIL.finditer(text, left, min(end, m.end() + 128)):
                 if x.start() <= m.start() < x.end():
                     found.append((x.start(), x.end()))
     merged: list[list[int]] = []
@@ -242,16 +243,29 @@ def learned_weights(examples: int = 2500, passes: int = 3, seed: int = 7) -> dic
 
 
 def find_spans(text: str | None, weights: dict[str, float]) -> tuple[list[Span], list[Span]]:
-    """Base spans, and all spans: the base ones and those of the field that overlap none of them."""
+    """Base spans, and all spans: the base ones and those of the field that overlap none of them.
+
+    A region that holds base spans is cut at them, and what stands between is searched again.
+    """
     if not text:
         return [], []
     base = base_spans(text)
     extra = []
     taken = sorted((a, b) for a, b, _ in base)
+    first = 0
     for a, b in regions(text):
-        if any(x < b and a < y for x, y in taken if y > a):
-            continue
-        extra += decode(text, a, b, weights)
+        while first < len(taken) and taken[first][1] <= a:
+            first += 1
+        at, i, parts = a, first, []
+        while i < len(taken) and taken[i][0] < b:
+            x, y = taken[i]
+            if y > at:
+                parts += regions(text, at, x) if x > at else []
+                at = y
+            i += 1
+        parts += [(a, b)] if at == a else regions(text, at, b) if at < b else []
+        for x, y in parts:
+            extra += decode(text, x, y, weights)
     return base, sorted(base + extra, key=lambda s: (s[0], KINDS.index(s[2])))
 
 

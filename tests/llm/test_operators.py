@@ -401,6 +401,16 @@ def test_pii_rows(spark):
     assert pii.personal_data(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_pii_beside_a_base_span():
+    weights = pii.learned_weights()
+    for text in ("4111 1111 1111 1111 / (555) 987-6543", "10.0.0.1 (555) 987-6543", "(555) 987-6543 / 10.0.0.1 / (415) 555-2671"):
+        base, spans = pii.find_spans(text, weights)
+        assert len(base) == 1 and set(base) <= set(spans)
+        for phone in re.findall(r"\([0-9]{3}\) [0-9]{3}-[0-9]{4}", text):
+            assert (text.index(phone), text.index(phone) + len(phone), "phone") in spans
+        assert not re.search("[0-9]", pii.masked(text, spans))
+
+
 # ---- names that clash
 
 def test_extra_columns_do_not_matter(spark, corpus):
