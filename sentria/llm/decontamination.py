@@ -134,12 +134,12 @@ class ItemIndex:
         return out
 
 
-def _emit(keys: list, rows: list[tuple]):
+def _emit(keys: list, rows: list[tuple], id_type: str = "long"):
     import pyarrow as pa
 
     columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
     names = ("n_words", "n_hit", "n_items")
-    return pa.RecordBatch.from_pydict({"doc_id": pa.array(keys, pa.int64())} | {c: pa.array(columns[j], pa.int64()) for j, c in enumerate(names)} | {"items_sha256": pa.array(columns[3], pa.string()), "contaminated": pa.array([x > 0 for x in columns[1]], pa.bool_())})
+    return pa.RecordBatch.from_pydict({"doc_id": pa.array(keys, pa.int64() if id_type == "long" else pa.string())} | {c: pa.array(columns[j], pa.int64()) for j, c in enumerate(names)} | {"items_sha256": pa.array(columns[3], pa.string()), "contaminated": pa.array([x > 0 for x in columns[1]], pa.bool_())})
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -167,7 +167,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: i
     return plain.mapInArrow(scan, RESULT)
 
 
-def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
+def _joined(docs: DataFrame, items: DataFrame, id_type: str = "long") -> DataFrame:
     spark = docs.sparkSession
 
     def prints(kind):
@@ -206,22 +206,24 @@ def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
         for batch in batches:
             rows = batch.to_pylist()
             out = [ItemIndex([(x["item_id"], x["item_text"]) for x in r["items"] or []]).report([r["text"]])[0] for r in rows]
-            yield _emit([r["doc_id"] for r in rows], out)
+            yield _emit([r["doc_id"] for r in rows], out, id_type)
 
-    result = keyed.join(found, "key", "left").select("doc_id", "text", "items").mapInArrow(verify, RESULT)
+    result = keyed.join(found, "key", "left").select("doc_id", "text", "items").mapInArrow(verify, RESULT.replace("doc_id long", f"doc_id {id_type}"))
     release(own, there)
     return result
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no benchmark passage. Sent-along columns survive clashing names."""
     spark = docs.sparkSession
     ship(spark)
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.coalesce("text", F.lit("")).alias("item_text"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("item_text") + 64), F.lit(0))).first()[0]
-    if size > BROADCAST_BYTES:
-        clean = find_contamination(docs, benchmark).where("not contaminated").select(F.col("doc_id").alias("_clean")).distinct()
-        return docs.join(clean, docs["doc_id"].eqNullSafe(clean["_clean"]), "left_semi")
+    if size > broadcast_bytes:
+        # whether a row goes depends on its text alone, so the text's key stands in for the row
+        texts = docs.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("doc_id"), "text").distinct()
+        found = _joined(texts, items, "string").where("contaminated").select(F.col("doc_id").alias("_found"))
+        return docs.join(found, F.sha2(F.coalesce(docs["text"], F.lit("")), 256) == found["_found"], "left_anti")
     sent = spark.sparkContext.broadcast([tuple(r) for r in items.distinct().collect()])
     place = docs.columns.index("text")
 

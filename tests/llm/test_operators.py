@@ -72,6 +72,18 @@ def test_decontamination_against_brute_force(spark, corpus):
     assert not any(x.contaminated for x in decontamination.find_contamination(table, bench.limit(0)).collect())
 
 
+def test_large_benchmarks_drop_the_same_rows(spark):
+    r = random.Random(12)
+    item, clean = prose(r, 20), [prose(r, 30) for _ in range(3)]
+    bad = clean[0] + " " + item
+    rows = [(1, clean[0]), (1, bad), (None, clean[1]), (None, bad), (2, bad), (3, clean[2]), (3, clean[2]), (4, None), (5, "")]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    for limit in (1 << 20, 0):  # broadcast, and joined
+        kept = decontamination.drop_contaminated(docs(spark, rows), bench, limit)
+        assert kept.columns == docs(spark, rows).columns
+        assert sorted((str(x.doc_id), str(x.text)) for x in kept.collect()) == sorted((str(i), str(t)) for i, t in rows if t != bad)
+
+
 # ---- 2
 
 def test_toxicity(spark):
