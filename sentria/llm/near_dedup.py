@@ -13,7 +13,8 @@ small buckets class by class, in large ones by an exact prefix and position boun
 shingles of their own never pass. No confirmed link between different texts is lost.
 
 Defined results: a null or empty text (or one without words) has no shingle, is linked with nothing and kept; a null
-doc_id is linked with nothing, has a null component and is kept; rows that repeat a doc_id have a row each.
+doc_id is linked with nothing, has a null component and is kept; rows that repeat a doc_id have a row each, and the
+component of their own text.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ BANDS, ROWS = 40, 5
 #: Buckets of up to so many classes are searched directly.
 SMALL = 30
 _U = np.uint64
+#: With its doc_id, tells a text from others of the same doc_id.
+_PRINT = "xxhash64(text)"
 
 
 def shingle_sets(texts: list[str | None], size: int, table=SPACED) -> list[np.ndarray]:
@@ -83,14 +86,14 @@ def band_keys(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _described(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n, two halves of a set's key, and its bands."""
+    """doc_id, the text's print, n, two halves of a set's key, and its bands."""
 
     def run(batches):
         import pyarrow as pa
 
         forget()
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            keys, texts, prints = (batch.column(i).to_pylist() for i in range(3))
             for a, b in text_groups(texts, 1_500_000):
                 sets = shingle_sets(texts[a:b], shingle)
                 found = band_keys(sketches(sets, bands * rows), bands, rows)
@@ -98,13 +101,13 @@ def _described(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
                     k1 = np.array([mix(s).sum(dtype=np.uint64) for s in sets], dtype=np.uint64).view(np.int64)
                     k2 = np.array([mix(s ^ _U(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64) for s in sets], dtype=np.uint64).view(np.int64)
                 offsets = pa.array(np.arange(0, (b - a + 1) * bands, bands, dtype=np.int32))
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(keys[a:b], pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()), "k1": pa.array(k1), "k2": pa.array(k2), "bands": pa.ListArray.from_arrays(offsets, pa.array(found.ravel()))})
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(keys[a:b], pa.int64()), "print": pa.array(prints[a:b], pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()), "k1": pa.array(k1), "k2": pa.array(k2), "bands": pa.ListArray.from_arrays(offsets, pa.array(found.ravel()))})
 
-    return docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, bands array<long>")
+    return docs.select("doc_id", "text", F.expr(_PRINT).alias("print")).mapInArrow(run, "doc_id long, print long, n long, k1 long, k2 long, bands array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """The full sets of the classes in ``wanted(rep, k1, k2)``, from their texts: (rep, items)."""
+    """The full sets of the classes in ``wanted(rep, first, k1, k2)``, from their texts: (rep, items)."""
 
     def run(batches):
         import pyarrow as pa
@@ -114,11 +117,12 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
             for a, b in text_groups(rows["text"], 1_500_000):
                 sets = shingle_sets(rows["text"][a:b], shingle)
                 with np.errstate(over="ignore"):
-                    same = [int(mix(s).sum(dtype=np.uint64).astype(np.int64)) == k for s, k in zip(sets, rows["k1"][a:b], strict=True)]
+                    same = [(int(mix(s).sum(dtype=np.uint64).astype(np.int64)), int(mix(s ^ _U(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).astype(np.int64))) == k for s, k in zip(sets, zip(rows["k1"][a:b], rows["k2"][a:b], strict=True), strict=True)]
                 yield pa.RecordBatch.from_pydict({"rep": pa.array([r for r, x in zip(rows["rep"][a:b], same, strict=True) if x], pa.int64()), "items": pa.array([s.view(np.int64) for s, x in zip(sets, same, strict=True) if x], pa.list_(pa.int64()))})
 
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").where("rep is not null and text is not null")
-    return texts.join(wanted.select("rep", "k1"), "rep").mapInArrow(run, "rep long, items array<long>").dropDuplicates(["rep"])
+    texts = docs.select("doc_id", F.expr(_PRINT).alias("print"), "text").where("doc_id is not null and text is not null")
+    named = wanted.select("rep", F.col("first.doc_id").alias("doc_id"), F.col("first.print").alias("print"), "k1", "k2")
+    return texts.join(named, ["doc_id", "print"]).select("rep", "k1", "k2", "text").mapInArrow(run, "rep long, items array<long>").dropDuplicates(["rep"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -160,18 +164,21 @@ def _by_prefix(wide: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return a.join(b, (a["item"] == b["item"]) & (F.col("cu") < F.col("cv")) & enough).select("u", "v")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, bands: int = BANDS, rows: int = ROWS, centre_rounds: int = 3, small: int = SMALL) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest reachable doc_id) and kept, for each row of ``docs(doc_id, text)``."""
+def _grouped(docs: DataFrame, shingle: int, percent: int, bands: int = BANDS, rows: int = ROWS, centre_rounds: int = 3, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
+    """The rows' set keys, and the classes as (k1, k2, n, first, head): the class's and its component's least (doc_id, print).
+
+    A class is a node by a number of its own, as different texts may repeat a doc_id.
+    """
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     described = materialize(_described(docs, shingle, bands, rows), "sketches")
     linked = described.where("n > 0 and doc_id is not null")
-    classes = materialize(linked.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")), "classes")
+    classes = linked.groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "print")).alias("first"), F.min_by("bands", "doc_id").alias("bands"))
+    classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     entries = classes.select("rep", "n", F.posexplode("bands").alias("band", "key"))
     shared = entries.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most"), F.count("*").alias("size")).where("least < most")
     members = materialize(entries.join(materialize(shared.select("key", "size"), "buckets"), "key"), "members")
-    wanted = members.select("rep").distinct().join(classes.select("rep", "k1"), "rep")
+    wanted = members.select("rep").distinct().join(classes.select("rep", "first", "k1", "k2"), "rep")
     sets = materialize(_sets(docs, wanted, shingle), "sets")
     found_links: list[DataFrame] = []
     spent: list[DataFrame] = []
@@ -219,8 +226,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, bands:
     if labels is None or not found.isEmpty():
         labels, state = relabelled(found)
     release(sets, rest, wide, pairs, *spent)
-    named = classes.select("k1", "k2", "n", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component_id"))
-    named = materialize(named, "named")
+    # the components' heads; a centre is in its component too
+    labels = labels.union(labels.select(F.col("component").alias("node"), "component").distinct()).withColumnRenamed("node", "rep")
+    heads = labels.join(classes.select("rep", "first"), "rep").groupBy("component").agg(F.min("first").alias("head"))
+    named = classes.select("k1", "k2", "n", "rep", "first").join(labels.join(heads, "component").select("rep", "head"), "rep", "left")
+    return described, materialize(named.select("k1", "k2", "n", "first", F.coalesce("head", "first").alias("head")), "named")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, small: int = SMALL) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest reachable doc_id) and kept, for each row of ``docs(doc_id, text)``."""
+    described, named = _grouped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), shingle, percent, small=small)
+    named = named.select("k1", "k2", "n", F.col("head.doc_id").alias("component_id"))
     rows_ = described.select("doc_id", "k1", "k2", "n").where("n > 0 and doc_id is not null").join(named, ["k1", "k2", "n"], "left")
     rows_ = rows_.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = described.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
@@ -228,11 +244,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, bands:
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the document with the smallest doc_id, and one row of those that repeat it."""
-    kept = near_duplicates(docs, shingle, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
-    own = docs.where("doc_id is not null")
-    stay = own.join(kept, own["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(["doc_id"])
-    return stay.union(docs.where("doc_id is null"))
+    """The rows of ``docs`` that stay: of each component one row, of the text that has the smallest doc_id, and every row
+    without a doc_id or without words. Rows that share a doc_id go only if their texts are linked or equal."""
+    _, named = _grouped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), shingle, percent)
+    kept = named.where("first = head").select(F.col("head.doc_id").alias("_kept"), F.col("head.print").alias("_kept_print")).distinct()
+    linked = F.col("doc_id").isNotNull() & F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    own = docs.where(linked).withColumn("_own_print", F.expr(_PRINT))
+    stay = own.join(kept, (own["doc_id"] == kept["_kept"]) & (own["_own_print"] == kept["_kept_print"]), "left_semi").dropDuplicates(["doc_id", "_own_print"]).drop("_own_print")
+    return stay.union(docs.where(~linked))
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -207,6 +207,17 @@ def test_near_dedup_odd_rows(spark, corpus):
     assert near_dedup.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_near_dedup_keeps_different_texts_of_one_doc_id(spark):
+    r = random.Random(13)
+    a, b, c = (prose(r, 40) for _ in range(3))
+    # doc_id 7 holds two unrelated texts, each with a near copy; doc_id 8 two unrelated texts without any
+    rows = [(7, a), (7, b), (21, a + " more"), (22, b + " more"), (8, c), (8, prose(r, 40)), (8, c), (9, ""), (9, "")]
+    got = sorted((x.doc_id, x.n_shingles, x.component_id) for x in near_dedup.near_duplicates(docs(spark, rows)).collect())
+    assert got == [(7, 37, 7), (7, 37, 7), (8, 37, 8), (8, 37, 8), (8, 37, 8), (9, 0, 9), (9, 0, 9), (21, 38, 7), (22, 38, 7)]
+    kept = [(x.doc_id, x.text) for x in near_dedup.drop_near_duplicates(docs(spark, rows)).collect()]
+    assert sorted(kept) == sorted([rows[0], rows[1], rows[4], rows[5], rows[7], rows[8]])
+
+
 def test_sketches_estimate_similarity():
     r = np.random.default_rng(1)
     common, own = r.integers(0, 1 << 62, 800, dtype=np.uint64), r.integers(0, 1 << 62, 200, dtype=np.uint64)
