@@ -344,6 +344,19 @@ def test_substring_dedup_finds_every_long_exact_passage(spark, corpus):
     assert substring_dedup.repeated_passages(docs(spark, corpus).limit(0)).count() == 0
 
 
+def test_substring_dedup_of_frequent_lines(spark):
+    r = random.Random(14)
+    rows = []
+    for k in range(6):  # passages of two 28-word lines, each line also in ten texts without the other
+        x, y = prose(r, 28), prose(r, 28)
+        for line in (x, y):
+            rows += [(1000 + len(rows) + i, f"{prose(r, 30)} {line} {prose(r, 30)}") for i in range(10)]
+        rows += [(i, f"{prose(r, 30)} {x} {y} {prose(r, 30)}") for i in (2 * k, 2 * k + 1)]
+    got = {(x.doc_id, x.other_id): x for x in substring_dedup.repeated_passages(docs(spark, rows)).collect()}
+    assert set(got) == {(2 * k + 1, 2 * k) for k in range(6)}
+    assert all((x.start, x.end, x.n_words, x.identity) == (30, 86, 56, 1.0) for x in got.values())
+
+
 def test_chains_are_collinear():
     chains = substring_dedup.chain([(0, 0), (5, 5), (10, 10), (3, 50), (12, 2)])
     assert chains[0] == [(0, 0), (5, 5), (10, 10)]
