@@ -3,9 +3,9 @@
 A page becomes a sequence of tokens: tags and whole text blocks, each told apart by the path of elements it stands in.
 A token's occurrence vector holds its number of occurrences on each page of the host; tokens with one vector form an
 equivalence class. Vectors are compared by an order-free hash that is summed over pages, so a host's pages are never
-gathered, however many it has. Classes that are large, frequent, and in one order on the page are the template; a class
-nests in the slot of another that its tokens lie between. Text tokens of frequent classes are template text; the slots in
-between hold what pages differ in. The article slot is the innermost element path that holds most of the slots' text of a
+gathered, however many it has; copies of one page count as one page. Classes on every page of the host, or on half of
+the pages with at least three tokens, are the template, and their text tokens are template text, in ``article`` and ``main``
+too. A class's order and nesting are not tested. A page that holds only template text keeps it. The article slot is the innermost element path that holds most of the slots' text of a
 host; pages with ``article`` or ``main`` name that element themselves. Elements whose kind or class says menu, header,
 footer, sidebar, notice, advert, form, script, style or comment hold no article text.
 
@@ -48,6 +48,11 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
+def _host():
+    """:func:`host_of` as a column."""
+    return F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1))
+
+
 def _names(attributes: str) -> tuple[str, frozenset[str], bool]:
     """The element's class mark for its path, its class words, and whether it is boilerplate by role or hidden."""
     classes, words, boiler = "", set(), False
@@ -154,9 +159,12 @@ def page_tokens(page: str | None) -> tuple[Counter, dict[int, int], dict[int, tu
     return counts, first, held
 
 
-def deduce_templates(pages: DataFrame, least_pages: int = 3, least_share: float = 0.5) -> DataFrame:
+def deduce_templates(pages: DataFrame, least_pages: int = 3, least_share: float = 0.5, least_class: int = 3) -> DataFrame:
     """Templates as rows (host, text_tokens, article_path): the hashes of template text, and the article slot's path.
 
+    Pages are counted by content: c copies of one page weigh 1 / c each. A class is the template's if it is on every page,
+    or on ``least_share`` of them with at least ``least_class`` tokens; text that several articles share is a class of its own.
+
     Two partial aggregations over (host, token); a row per host remains, with the tokens of at least ``least_share`` of
     its pages, which are fewer than the tokens of 1 / least_share pages.
     """
@@ -167,35 +175,41 @@ def deduce_templates(pages: DataFrame, least_pages: int = 3, least_share: float
 
         mask = (1 << 61) - 1
         for batch in batches:
-            urls, htmls, salts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            urls, htmls, salts, copies = (batch.column(i).to_pylist() for i in range(4))
             for a, b in text_groups(htmls):
                 sums: dict[tuple[str, int], list[int]] = {}
-                for url, page, salt in zip(urls[a:b], htmls[a:b], salts[a:b], strict=True):
+                for url, page, salt, n_copies in zip(urls[a:b], htmls[a:b], salts[a:b], copies[a:b], strict=True):
                     host = host_of(url)
                     counts, first, held = page_tokens(page)
-                    sums.setdefault((host, 0), [0, 0, 0, 0, 0, 0])[0] += 1
+                    weight = 1 / n_copies
+                    sums.setdefault((host, 0), [0, 0, 0, 0, 0, 0])[0] += weight
                     for key, n in counts.items():
                         depth, size = held.get(key, (0, 0))
                         row = sums.setdefault((host, key), [0, 0, 0, 0, 0, 0])
-                        row[0] += 1
+                        row[0] += weight
                         row[1] = (row[1] + hash((salt, n)) % mask) % mask  # the occurrence vector's hash
                         row[2] += n
-                        row[3] += first[key]
-                        row[4] += size
+                        row[3] += weight * first[key]
+                        row[4] += weight * size
                         row[5] = max(row[5], depth)
                 keys = list(sums)
                 columns = list(zip(*sums.values(), strict=True)) or [[]] * 6
-                yield pa.RecordBatch.from_pydict({"host": pa.array([h for h, _ in keys], pa.string()), "token": pa.array([k for _, k in keys], pa.int64())} | {c: pa.array(list(v), pa.int64()) for c, v in zip(("n_pages", "vector", "n", "place", "held", "depth"), columns, strict=True)})
-
-    salted = pages.select("url", "html", F.xxhash64("page_id", "url", F.md5(F.coalesce("html", F.lit("")))).alias("salt"))
-    seen = salted.mapInArrow(run, "host string, token long, n_pages long, vector long, n long, place long, held long, depth long")
+                yield pa.RecordBatch.from_pydict({"host": pa.array([h for h, _ in keys], pa.string()), "token": pa.array([k for _, k in keys], pa.int64())} | {c: pa.array(list(v), pa.float64() if c in ("n_pages", "place", "held") else pa.int64()) for c, v in zip(("n_pages", "vector", "n", "place", "held", "depth"), columns, strict=True)})
+
+    content = F.md5(F.coalesce("html", F.lit("")))
+    copied = materialize(pages.select(_host().alias("host"), content.alias("content")).groupBy("host", "content").agg(F.count("*").alias("copies")).where("copies > 1"), "copied-pages")
+    if copied.count() <= BROADCAST_COPIES:
+        copied = F.broadcast(copied)
+    named = pages.select("url", "html", _host().alias("host"), content.alias("content")).join(copied, ["host", "content"], "left")
+    salted = named.select("url", "html", F.xxhash64("content").alias("salt"), F.coalesce("copies", F.lit(1)).alias("copies"))
+    seen = salted.mapInArrow(run, "host string, token long, n_pages double, vector long, n long, place double, held double, depth long")
     tokens = materialize(seen.groupBy("host", "token").agg(F.sum("n_pages").alias("n_pages"), (F.sum(F.col("vector").cast("decimal(38,0)")) % ((1 << 61) - 1)).cast("long").alias("vector"), F.sum("n").alias("n"), F.sum("place").alias("place"), F.sum("held").alias("held"), F.max("depth").alias("depth")), "page-tokens")
     hosts = tokens.where("token = 0").select("host", F.col("n_pages").alias("all_pages"))
-    kept = tokens.where(f"token <> 0 and n_pages >= {least_pages}").join(hosts, "host").where(F.col("n_pages") >= least_share * F.col("all_pages"))
+    kept = tokens.where(f"token <> 0 and n_pages > {least_pages} - 1e-6").join(hosts, "host").where(F.col("n_pages") > least_share * F.col("all_pages") - 1e-6)
     # equivalence classes: tokens of one occurrence vector; large enough ones are the template's
-    classes = kept.groupBy("host", "vector").agg(F.count("*").alias("size"), F.collect_list(F.struct("token", "n", "n_pages", "depth", "held", (F.col("place") / F.col("n_pages")).alias("at"))).alias("members"))
-    members = classes.select("host", "vector", "size", F.explode("members").alias("m")).select("host", "vector", "size", "m.*")
-    text = F.sort_array(F.collect_set(F.when(F.col("held") == 0, F.col("token"))))
+    sizes = kept.groupBy("host", "vector").agg(F.count("*").alias("size"))
+    members = kept.join(sizes, ["host", "vector"]).withColumn("template", (F.col("size") >= least_class) | (F.col("n_pages") > F.col("all_pages") - 1e-6))
+    text = F.sort_array(F.collect_set(F.when((F.col("held") == 0) & F.col("template"), F.col("token"))))
     # the article slot: the deepest path that holds most of the text outside boilerplate
     most = F.max("held")
     by_host = members.groupBy("host").agg(text.alias("text_tokens"), most.alias("most"))
@@ -208,9 +222,11 @@ def main_text(page: str | None, template_text: frozenset[int] = frozenset(), art
     """The article's blocks, joined by line feeds."""
     found = blocks(page)
     rooted = [b for b in found if b[2]]
+    plain = [(path, text) for path, text, _, boiler in rooted or found if not boiler]
+    # a page of template text alone is a copy of others: its text stays
+    kept = [x for x in plain if _hash("text", *x[0], x[1]) not in template_text] or plain
     if rooted:
-        return "\n".join(text for _, text, _, boiler in rooted if not boiler)
-    kept = [(path, text) for path, text, _, boiler in found if not boiler and _hash("text", *path, text) not in template_text]
+        return "\n".join(text for _, text in kept)
     if article_path is not None:
         inside = [text for path, text in kept if any(_hash("path", *path[:n]) == article_path for n in range(1, len(path) + 1))]
         if inside:
@@ -218,6 +234,8 @@ def main_text(page: str | None, template_text: frozenset[int] = frozenset(), art
     return "\n".join(text for _, text in kept)
 
 
+#: Counts of up to so many repeated pages are broadcast.
+BROADCAST_COPIES = 200_000
 #: Templates of up to so many bytes are broadcast; beyond, pages are joined with them by host.
 BROADCAST_BYTES = 32 << 20
 
@@ -252,7 +270,7 @@ def extract(pages: DataFrame) -> DataFrame:
             rows = zip(*(batch.column(i).to_pylist() for i in (2, 4, 5)), strict=True)
             yield emit(batch, [main_text(h, frozenset(t or ()), p) for h, t, p in rows])
 
-    named = plain.withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1)))
+    named = plain.withColumn("host", _host())
     return named.join(templates, "host", "left").select("page_id", "url", "html", "host", "text_tokens", "article_path").mapInArrow(joined, schema)
 
 

@@ -295,6 +295,28 @@ def test_html_extraction(spark):
     assert html_extraction.extract(table.limit(0)).count() == 0
 
 
+def test_html_templates_are_classes_of_distinct_pages(spark):
+    r = random.Random(15)
+    rows, wanted = [], {}
+    shared, paragraph = prose(r, 40), prose(r, 30)
+    def add(host, body, text):
+        rows.append((len(rows), f"https://{host}/{len(rows)}", f"<body><div id=top>Home About</div>{body}<div id=end>Imprint</div></body>"))
+        wanted[len(rows) - 1] = text
+    for k in range(12):
+        own = prose(r, 40)
+        if k % 2:  # half of a host's pages are copies
+            add("copies.org", f"<div id=c><p>{shared}</p></div>", shared)
+        else:
+            add("copies.org", f"<div id=c><p>{own}</p></div>", own)
+        # two thirds of the pages share a real paragraph
+        add("shared.org", f"<div id=c><p>{own}</p>" + (f"<blockquote>{paragraph}</blockquote>" if k % 3 else "") + "</div>", own + (f"\n{paragraph}" if k % 3 else ""))
+        # template text inside the article element
+        add("inside.org", f"<article><p>{own}</p><p>Read on in our shop</p></article>", own)
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {x.page_id: x.text for x in html_extraction.extract(table).collect()}
+    assert {i: (got[i], t) for i, t in wanted.items() if got[i] != t} == {}
+
+
 # ---- 7
 
 def test_vector_search_against_brute_force(spark):
