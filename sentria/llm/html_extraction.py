@@ -5,9 +5,10 @@ A token's occurrence vector holds its number of occurrences on each page of the
 equivalence class. Vectors are compared by an order-free hash that is summed over pages, so a host's pages are never
 gathered, however many it has; copies of one page count as one page. Classes on every page of the host, or on half of
 the pages with at least three tokens, are the template, and their text tokens are template text, in ``article`` and ``main``
-too. A class's order and nesting are not tested. A page that holds only template text keeps it. The article slot is the innermost element path that holds most of the slots' text of a
-host; pages with ``article`` or ``main`` name that element themselves. Elements whose kind or class says menu, header,
-footer, sidebar, notice, advert, form, script, style or comment hold no article text.
+too. A class's order and nesting are not tested. A page that holds only template text keeps it. Every block that neither
+the template nor its elements explain is article text; pages with ``article`` or ``main`` name the element that holds it
+themselves. Elements whose kind or class says menu, header, footer, sidebar, notice, advert, form, script, style or comment
+hold no article text.
 
 Defined results: null html is empty html, with empty text; a null url belongs to the host of no name; rows are kept one
 by one; a host of one page has no template, and its pages are read by their elements alone; unfinished tags at
@@ -38,7 +39,6 @@ _BOILER = frozenset("nav footer aside form menu dialog button fieldset head inpu
 _BOILER_CLASS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner menu nav navbar navigation sidebar sidenav footer header masthead cookie cookies consent gdpr notice notification alert newsletter subscribe subscription comment comments reply replies disqus related recommended share sharing social breadcrumb breadcrumbs pagination pager popup modal overlay widget toolbar login signup search hidden".split())
 _BOILER_ROLE = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar toolbar".split())
 _ROOT = frozenset(("article", "main"))
-_CONTAINERS = frozenset("article body center div html main section table td".split())
 _HOST = re.compile(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)")
 Block = tuple[tuple[str, ...], str, bool, bool]
 
@@ -141,26 +141,21 @@ def _hash(*parts: str) -> int:
     return (zlib.crc32(raw) << 31) ^ zlib.adler32(raw) ^ len(raw)
 
 
-def page_tokens(page: str | None) -> tuple[Counter, dict[int, int], dict[int, tuple[int, int]]]:
-    """Occurrences and first places of a page's tokens (paths and text blocks), and the text held below each path."""
+def page_tokens(page: str | None) -> tuple[Counter, set[int]]:
+    """Occurrences of a page's tokens (paths and text blocks), and which of them are text blocks."""
     counts: Counter = Counter()
-    first: dict[int, int] = {}
-    held: dict[int, tuple[int, int]] = {}
-    for i, (path, text, _, boiler) in enumerate(blocks(page)):
-        keys = [_hash("text", *path, text)]
+    texts: set[int] = set()
+    for path, text, _, _ in blocks(page):
+        key = _hash("text", *path, text)
+        texts.add(key)
+        counts[key] += 1
         for n in range(1, len(path) + 1):
-            key = _hash("path", *path[:n])
-            keys.append(key)
-            if not boiler and path[n - 1].split(".")[0] in _CONTAINERS:
-                held[key] = (n, held.get(key, (n, 0))[1] + len(text))
-        for key in keys:
-            counts[key] += 1
-            first.setdefault(key, i)
-    return counts, first, held
+            counts[_hash("path", *path[:n])] += 1
+    return counts, texts
 
 
 def deduce_templates(pages: DataFrame, least_pages: int = 3, least_share: float = 0.5, least_class: int = 3) -> DataFrame:
-    """Templates as rows (host, text_tokens, article_path): the hashes of template text, and the article slot's path.
+    """Templates as rows (host, text_tokens): the hashes of template text.
 
     Pages are counted by content: c copies of one page weigh 1 / c each. A class is the template's if it is on every page,
     or on ``least_share`` of them with at least ``least_class`` tokens; text that several articles share is a class of its own.
@@ -180,21 +175,16 @@ def deduce_templates(pages: DataFrame, least_pages: int = 3, least_share: float
                 sums: dict[tuple[str, int], list[int]] = {}
                 for url, page, salt, n_copies in zip(urls[a:b], htmls[a:b], salts[a:b], copies[a:b], strict=True):
                     host = host_of(url)
-                    counts, first, held = page_tokens(page)
+                    counts, own = page_tokens(page)
                     weight = 1 / n_copies
-                    sums.setdefault((host, 0), [0, 0, 0, 0, 0, 0])[0] += weight
+                    sums.setdefault((host, 0), [0, 0, 0])[0] += weight
                     for key, n in counts.items():
-                        depth, size = held.get(key, (0, 0))
-                        row = sums.setdefault((host, key), [0, 0, 0, 0, 0, 0])
+                        row = sums.setdefault((host, key), [0, 0, key in own])
                         row[0] += weight
                         row[1] = (row[1] + hash((salt, n)) % mask) % mask  # the occurrence vector's hash
-                        row[2] += n
-                        row[3] += weight * first[key]
-                        row[4] += weight * size
-                        row[5] = max(row[5], depth)
                 keys = list(sums)
-                columns = list(zip(*sums.values(), strict=True)) or [[]] * 6
-                yield pa.RecordBatch.from_pydict({"host": pa.array([h for h, _ in keys], pa.string()), "token": pa.array([k for _, k in keys], pa.int64())} | {c: pa.array(list(v), pa.float64() if c in ("n_pages", "place", "held") else pa.int64()) for c, v in zip(("n_pages", "vector", "n", "place", "held", "depth"), columns, strict=True)})
+                columns = list(zip(*sums.values(), strict=True)) or [[]] * 3
+                yield pa.RecordBatch.from_pydict({"host": pa.array([h for h, _ in keys], pa.string()), "token": pa.array([k for _, k in keys], pa.int64())} | {"n_pages": pa.array(columns[0], pa.float64()), "vector": pa.array(columns[1], pa.int64()), "is_text": pa.array([bool(x) for x in columns[2]], pa.bool_())})
 
     content = F.md5(F.coalesce("html", F.lit("")))
     copied = materialize(pages.select(_host().alias("host"), content.alias("content")).groupBy("host", "content").agg(F.count("*").alias("copies")).where("copies > 1"), "copied-pages")
@@ -202,35 +192,23 @@ def deduce_templates(pages: DataFrame, least_pages: int = 3, least_share: float
         copied = F.broadcast(copied)
     named = pages.select("url", "html", _host().alias("host"), content.alias("content")).join(copied, ["host", "content"], "left")
     salted = named.select("url", "html", F.xxhash64("content").alias("salt"), F.coalesce("copies", F.lit(1)).alias("copies"))
-    seen = salted.mapInArrow(run, "host string, token long, n_pages double, vector long, n long, place double, held double, depth long")
-    tokens = materialize(seen.groupBy("host", "token").agg(F.sum("n_pages").alias("n_pages"), (F.sum(F.col("vector").cast("decimal(38,0)")) % ((1 << 61) - 1)).cast("long").alias("vector"), F.sum("n").alias("n"), F.sum("place").alias("place"), F.sum("held").alias("held"), F.max("depth").alias("depth")), "page-tokens")
+    seen = salted.mapInArrow(run, "host string, token long, n_pages double, vector long, is_text boolean")
+    tokens = materialize(seen.groupBy("host", "token").agg(F.sum("n_pages").alias("n_pages"), (F.sum(F.col("vector").cast("decimal(38,0)")) % ((1 << 61) - 1)).cast("long").alias("vector"), F.max("is_text").alias("is_text")), "page-tokens")
     hosts = tokens.where("token = 0").select("host", F.col("n_pages").alias("all_pages"))
     kept = tokens.where(f"token <> 0 and n_pages > {least_pages} - 1e-6").join(hosts, "host").where(F.col("n_pages") > least_share * F.col("all_pages") - 1e-6)
     # equivalence classes: tokens of one occurrence vector; large enough ones are the template's
     sizes = kept.groupBy("host", "vector").agg(F.count("*").alias("size"))
     members = kept.join(sizes, ["host", "vector"]).withColumn("template", (F.col("size") >= least_class) | (F.col("n_pages") > F.col("all_pages") - 1e-6))
-    text = F.sort_array(F.collect_set(F.when((F.col("held") == 0) & F.col("template"), F.col("token"))))
-    # the article slot: the deepest path that holds most of the text outside boilerplate
-    most = F.max("held")
-    by_host = members.groupBy("host").agg(text.alias("text_tokens"), most.alias("most"))
-    paths = members.where("held > 0").join(by_host.select("host", "most"), "host").where("held >= 0.75 * most")
-    slots = paths.groupBy("host").agg(F.max_by("token", F.struct("depth", "held", "token")).alias("article_path"))
-    return materialize(by_host.select("host", "text_tokens").join(slots, "host", "left"), "templates")
+    return materialize(members.where("template and is_text").groupBy("host").agg(F.sort_array(F.collect_set("token")).alias("text_tokens")), "templates")
 
 
-def main_text(page: str | None, template_text: frozenset[int] = frozenset(), article_path: int | None = None) -> str:
+def main_text(page: str | None, template_text: frozenset[int] = frozenset()) -> str:
     """The article's blocks, joined by line feeds."""
     found = blocks(page)
     rooted = [b for b in found if b[2]]
     plain = [(path, text) for path, text, _, boiler in rooted or found if not boiler]
     # a page of template text alone is a copy of others: its text stays
     kept = [x for x in plain if _hash("text", *x[0], x[1]) not in template_text] or plain
-    if rooted:
-        return "\n".join(text for _, text in kept)
-    if article_path is not None:
-        inside = [text for path, text in kept if any(_hash("path", *path[:n]) == article_path for n in range(1, len(path) + 1))]
-        if inside:
-            return "\n".join(inside)
     return "\n".join(text for _, text in kept)
 
 
@@ -255,23 +233,23 @@ def extract(pages: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_pydict({"page_id": batch.column(0), "url": batch.column(1), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 
     if size <= BROADCAST_BYTES:
-        known = {r["host"]: (frozenset(r["text_tokens"] or ()), r["article_path"]) for r in templates.collect()}
+        known = {r["host"]: frozenset(r["text_tokens"]) for r in templates.collect()}
         sent = spark.sparkContext.broadcast(known)
 
         def run(batches):
             for batch in batches:
                 urls, htmls = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-                yield emit(batch, [main_text(h, *sent.value.get(host_of(u), ())) for u, h in zip(urls, htmls, strict=True)])
+                yield emit(batch, [main_text(h, sent.value.get(host_of(u), frozenset())) for u, h in zip(urls, htmls, strict=True)])
 
         return plain.mapInArrow(run, schema)
 
     def joined(batches):
         for batch in batches:
-            rows = zip(*(batch.column(i).to_pylist() for i in (2, 4, 5)), strict=True)
-            yield emit(batch, [main_text(h, frozenset(t or ()), p) for h, t, p in rows])
+            rows = zip(*(batch.column(i).to_pylist() for i in (2, 4)), strict=True)
+            yield emit(batch, [main_text(h, frozenset(t or ())) for h, t in rows])
 
     named = plain.withColumn("host", _host())
-    return named.join(templates, "host", "left").select("page_id", "url", "html", "host", "text_tokens", "article_path").mapInArrow(joined, schema)
+    return named.join(templates, "host", "left").select("page_id", "url", "html", "host", "text_tokens").mapInArrow(joined, schema)
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -317,6 +317,17 @@ def test_html_templates_are_classes_of_distinct_pages(spark):
     assert {i: (got[i], t) for i, t in wanted.items() if got[i] != t} == {}
 
 
+def test_html_text_outside_the_largest_container_stays(spark):
+    r = random.Random(16)
+    rows, wanted = [], {}
+    for k in range(8):
+        title, lead, body, last = prose(r, 6), prose(r, 10), prose(r, 80), prose(r, 8)
+        rows.append((k, f"https://post.org/{k}", f"<body><div id=top>Home</div><div id=post><h1>{title}</h1><p>{lead}</p><div class=body><p>{body}</p></div></div><p>{last}</p></body>"))
+        wanted[k] = "\n".join((title, lead, body, last))
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {x.page_id: x.text for x in html_extraction.extract(table).collect()} == wanted
+
+
 # ---- 7
 
 def test_vector_search_against_brute_force(spark):
