@@ -352,29 +352,47 @@ def test_vector_search_against_brute_force(spark):
 
 # ---- 8
 
-def test_substring_dedup_finds_every_long_exact_passage(spark, corpus):
-    got = substring_dedup.repeated_passages(docs(spark, corpus)).collect()
-    words = {i: re.findall("[0-9a-z]+", (t or "").lower()) for i, t in corpus if i not in (None, 55)}
-    pairs = {(x.doc_id, x.other_id) for x in got}
-    parent = {}
+def covered(rows):
+    """Per doc_id the places that its rows cover."""
+    out = {}
+    for x in rows:
+        out.setdefault(x.doc_id, set()).update(range(x.start, x.end))
+    return out
 
-    def find(i):
-        while parent.setdefault(i, i) != i:
-            i = parent[i]
-        return i
 
-    for a, b in pairs:
-        parent[find(a)] = find(b)
-    seen = {}
-    for i, w in words.items():
+def test_substring_dedup_finds_every_long_exact_passage(spark, corpus):
+    r = random.Random(21)
+    inside = prose(r, 55)
+    texts = [*[x for x in corpus if x[0] != 55], (60, f"{inside} {prose(r, 5)} {inside}"), (61, base := prose(r, 70)), (61, prose(r, 60)), (62, f"{prose(r, 3)} {base}"), (63, base), (64, corpus[9][1])]
+    got = substring_dedup.repeated_passages(docs(spark, texts)).collect()
+    words = [(i, re.findall("[0-9a-z]+", (t or "").lower())) for i, t in texts if i is not None]
+    classes = {}
+    for i, w in words:
+        classes.setdefault(tuple(w), set()).add(i)
+    holders = {}
+    for w in classes:
         for k in range(len(w) - 49):
-            seen.setdefault(tuple(w[k : k + 50]), set()).add(i)
-    assert any(len(s) > 1 for s in seen.values())
-    assert all(len({find(i) for i in s}) == 1 for s in seen.values() if len(s) > 1)
+            holders.setdefault(w[k : k + 50], set()).add(w)
+    cover = covered(got)
+    pairs = {(x.doc_id, x.other_id) for x in got}
+    exact = set()
+    for w, ids in classes.items():
+        places = {p for k in range(len(w) - 49) if len(holders[w[k : k + 50]]) > 1 for p in range(k, k + 50)}
+        assert places <= cover.get(min(ids), set())  # every holder, every place
+        exact |= ids if places or len(w) >= 50 and len(ids) > 1 else set()
+        if len(w) >= 50 and len(ids) > 1:
+            assert all(any(i == a and b in ids for a, b in pairs) for i in ids)
+    assert {x.doc_id for x in got} >= exact and 60 not in cover
+    by_id = {}
+    for i, w in words:
+        by_id.setdefault(i, []).append(w)
+    for x in got:  # positions hold what they claim
+        pieces = [(" ".join(u[x.start : x.end]), " ".join(v[x.other_start : x.other_end])) for u in by_id[x.doc_id] for v in by_id[x.other_id]]
+        assert x.identity >= 0.8 and x.n_words >= 50 and (x.identity < 1 or any(a == b for a, b in pieces))
+    assert {(x.other_id, x.doc_id) for x in got if x.kind == "passage"} == {(x.doc_id, x.other_id) for x in got if x.kind == "passage"}
     passage = next(x for x in got if (x.doc_id, x.other_id) == (51, 50))
     assert passage.n_words == 60 and (passage.start, passage.end, passage.other_start) == (0, 60, 20) and passage.identity == 1.0
-    assert all(x.identity >= 0.8 and x.n_words >= 50 for x in got)
-    assert substring_dedup.repeated_passages(docs(spark, corpus).limit(0)).count() == 0
+    assert substring_dedup.repeated_passages(docs(spark, texts).limit(0)).count() == 0
 
 
 def test_substring_dedup_of_frequent_lines(spark):
@@ -386,10 +404,20 @@ def test_substring_dedup_of_frequent_lines(spark):
             rows += [(1000 + len(rows) + i, f"{prose(r, 30)} {line} {prose(r, 30)}") for i in range(10)]
         rows += [(i, f"{prose(r, 30)} {x} {y} {prose(r, 30)}") for i in (2 * k, 2 * k + 1)]
     got = {(x.doc_id, x.other_id): x for x in substring_dedup.repeated_passages(docs(spark, rows)).collect()}
-    assert set(got) == {(2 * k + 1, 2 * k) for k in range(6)}
+    assert set(got) == {x for k in range(6) for x in ((2 * k + 1, 2 * k), (2 * k, 2 * k + 1))}
     assert all((x.start, x.end, x.n_words, x.identity) == (30, 86, 56, 1.0) for x in got.values())
 
 
+def test_exact_runs_survive_unlike_neighbours():
+    r = random.Random(8)
+    run, a, b = prose(r, 52).split(), prose(r, 60).split(), prose(r, 60).split()
+    tail = prose(r, 6).split()
+    left, right = [*run, *a[:38], *tail], [*run, *b[:38], *tail]
+    for starts in ([(i, i) for i in range(3)], []):
+        found = substring_dedup.passages(left, right, [(0, 0), (20, 20), (47, 47), (90, 90)], starts)
+        assert any(x[0] == 0 and 52 <= x[1] <= 56 for x in found)
+
+
 def test_chains_are_collinear():
     chains = substring_dedup.chain([(0, 0), (5, 5), (10, 10), (3, 50), (12, 2)])
     assert chains[0] == [(0, 0), (5, 5), (10, 10)]
