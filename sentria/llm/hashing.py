@@ -85,14 +85,23 @@ class Words:
         return mix((sums[k:] - sums[:n]) * _power(_M_INVERSE, n)), self.doc[:n] == self.doc[k - 1 : k - 1 + n]
 
 
+def sliding_least(grams: np.ndarray, w: int) -> np.ndarray:
+    """The least of w consecutive values from each on: minima over doubling widths."""
+    out, width = grams, 1
+    while 2 * width <= w:
+        out = np.minimum(out[: len(out) - width], out[width:])
+        width *= 2
+    if rest := w - width:
+        out = np.minimum(out[: len(out) - rest], out[rest:])
+    return out
+
+
 def winnow(grams: np.ndarray, inside: np.ndarray, doc: np.ndarray, k: int, w: int) -> np.ndarray:
     """Positions of the grams that are a minimum of some w consecutive grams of one text (every tied one)."""
     n = len(grams) - w + 1
     if n <= 0:
         return np.zeros(0, dtype=np.int64)
-    least = grams[:n].copy()
-    for j in range(1, w):
-        np.minimum(least, grams[j : j + n], out=least)
+    least = sliding_least(grams, w)
     whole = inside[:n] & inside[w - 1 :] & (doc[:n] == doc[w - 1 : w - 1 + n])
     chosen = np.zeros(len(grams), dtype=bool)
     for j in range(w):

@@ -363,7 +363,7 @@ def covered(rows):
 def test_substring_dedup_finds_every_long_exact_passage(spark, corpus):
     r = random.Random(21)
     inside = prose(r, 55)
-    texts = [*[x for x in corpus if x[0] != 55], (60, f"{inside} {prose(r, 5)} {inside}"), (61, base := prose(r, 70)), (61, prose(r, 60)), (62, f"{prose(r, 3)} {base}"), (63, base), (64, corpus[9][1])]
+    texts = [*[x for x in corpus if x[0] != 55], (60, f"{inside} {prose(r, 5)} {inside}"), (61, base := prose(r, 70)), (61, prose(r, 60)), (62, f"{prose(r, 3)} {base}"), (63, base), (64, corpus[9][1]), (65, f"{prose(r, 8)} {base}" + f" {prose(r, 4)} {base}" * 2), (66, "again " * 300), (67, f"{prose(r, 9)} " + "again " * 120)]
     got = substring_dedup.repeated_passages(docs(spark, texts)).collect()
     words = [(i, re.findall("[0-9a-z]+", (t or "").lower())) for i, t in texts if i is not None]
     classes = {}
@@ -382,6 +382,7 @@ def test_substring_dedup_finds_every_long_exact_passage(spark, corpus):
         exact |= ids if places or len(w) >= 50 and len(ids) > 1 else set()
         if len(w) >= 50 and len(ids) > 1:
             assert all(any(i == a and b in ids for a, b in pairs) for i in ids)
+    assert sum({x.doc_id, x.other_id} == {66, 67} for x in got) < 30
     assert {x.doc_id for x in got} >= exact and 60 not in cover
     by_id = {}
     for i, w in words:
