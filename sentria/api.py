@@ -5,8 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from sentria import registry
-from sentria.functions.clean import clean
 from sentria.kernel import segment
+from sentria.kernel.cleaning import clean
 from sentria.options import InvalidConfigurationError, Options, check_buffering
 
 _CLUSTER = frozenset(".!?")
@@ -51,10 +51,15 @@ class Segmenter:
         return segment.waits(self._text(text), self.profile, self.options.split_mode)
 
     def segment_with_lookahead(self, text: str | None) -> SegmentLookahead:
-        return SegmentLookahead(self.segment(text), self.should_wait_for_more(text))
+        text = self._text(text)
+        found, waits = segment.lookahead(text, self.profile, self.options.split_mode)
+        return SegmentLookahead(segment.shown(text, found), waits)
 
     def segment_spans_with_lookahead(self, text: str | None) -> SegmentLookahead:
-        return SegmentLookahead(self.segment_spans(text), self.should_wait_for_more(text))
+        if self.options.clean:
+            raise InvalidConfigurationError("spans need the text as it is: clean=False")
+        found, waits = segment.lookahead(text, self.profile, self.options.split_mode)
+        return SegmentLookahead([TextSpan(text[a:b], a, b) for a, b in found], waits)
 
 
 @dataclass
@@ -71,8 +76,7 @@ def advance(state: StreamState, delta: str | None, profile, mode: str = "balance
     out: list[TextSpan] = []
     if delta:
         state.buffer += delta
-        found = segment.spans(state.buffer, profile, mode)
-        state.wait = segment.waits(state.buffer, profile, mode)
+        found, state.wait = segment.lookahead(state.buffer, profile, mode)
         cut = 0
         for i, (a, b) in enumerate(found):
             last = i == len(found) - 1

@@ -1,111 +1,81 @@
-"""Text cleaning and normalisation as Catalyst expressions; no Python runs on the executors.
+"""Cleaning and normalisation as column functions.
 
-The same rules serve single strings on the driver through :func:`clean`.
+The cleaner and its steps run in Arrow batches: a chain of Java regular expressions over the same texts takes many times as
+long (README). Short rewrites that one expression holds stay in the JVM.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-_SPACE = r"[\s\x1c-\x1f\x85\xa0  -     　]"
-ZERO_WIDTH = "​‌‍﻿"
-_CLOSERS = r"[\"'”’»)\]}」』】）》›]"
-Rules = list[tuple[str, str]]
+from sentria.functions.arrow import column_function
+from sentria.kernel import cleaning
+from sentria.kernel.cleaning import ZERO_WIDTH, clean
+from sentria.runtime import ship
 
-# Each rule: a pattern that Java and Python read alike, and its replacement.
-ESCAPED: Rules = [(r"\\n", "\n"), (r"\\r", "\r"), (r"\\ n", "\n"), (r"\\ r", "\r")]
-IN_SENTENCE: Rules = [(rf"(?<={_SPACE})\n(?=[a-z(])", "")]
-IN_WORD: Rules = [(r"\n(?=[a-zA-Z]{1,2}\n)", "")]
-DOUBLE: Rules = [(r"\n \n", "\r"), (r"\n\n", "\r")]
-LINES: Rules = [(rf"\n(?=\.(?:{_SPACE}|\n))", ""), (r"\n", "\r")]
-PDF_LINES: Rules = [(r"\n(?=•)", "\r"), (r"(?<=[a-z])-\n(?=[a-z])", ""), (rf"(?<=[^\n]{_SPACE})\n(?=[^\s])", ""), (r"\n(?=[a-z])", " ")]
-TAGS: Rules = [(r"<\/?[\p{L}\p{N}_]++(?:\"[^\"]*\"|'[^']*'|[^<>\"'])*+>", ""), (r"&lt;\/?[\p{L}\p{N}_]++(?:[^&]++|&(?!lt;|gt;))*+&gt;", "")]
-INLINE: Rules = [(r"\{b\^&gt;[0-9]*&lt;b\^\}|\{b\^>[0-9]*<b\^\}", "")]
-QUOTES: Rules = [(r"`", "'"), (r"''", '"')]
-CONTENTS: Rules = [(r"(?<!\.)\.{4,}+[ \t\x0b\f\xa0]*+[0-9]++-*+[0-9]*+(?=[ \t\x0b\f\xa0]*(?:\r|\n|\z))", "\r")]
-REPEATED: Rules = [(r"\.{5,}", " "), (r"/{3}", "")]
-_CONNECTED: Rules = [(r"(?<=[a-z])\.(?=[A-Z])", ". "), (r"(?<=[0-9])\.(?=[A-Z])", ". ")]
-# Marks of addresses, in which a period without a space joins.
-ADDRESS_MARKS = ("@", "http", ".com", "net", "www", "//")
-_JA_LINE: Rules = [(r"(?<=[のはがをにでともへ])\n(?!\s*(?:[・●○◦▪■□◆◇▼▽▶▷►▸※]|[-*]|[0-9０-９]+[.)、．]|[一二三四五六七八九十]+[、.)]))(?=[぀-ヿ㐀-鿿々〆〤])", "")]
+_WHITE = r"\s\x1c-\x1f\x85\xa0  -     　"
+_CLOSING = r"[\"'”’»)\]}」』】）》›]"
 
 
-def _column(c: Column, rules: Rules) -> Column:
-    for pattern, new in rules:
-        c = F.regexp_replace(c, F.lit(pattern), F.lit(new.replace("\\", "\\\\").replace("$", "\\$")))
-    return c
+def _col(c: Column | str) -> Column:
+    return F.col(c) if isinstance(c, str) else c
 
 
-def _text(s: str, rules: Rules) -> str:
-    for pattern, new in rules:
-        s = re.sub(pattern.replace(r"[\p{L}\p{N}_]", r"\w").replace(r"\z", r"\Z"), lambda _, new=new: new, s)
-    return s
+def _step(kernel: Callable[[str], str], c: Column | str) -> Column:
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        ship(spark)
+    return column_function(lambda t: kernel(t) if t else t, "string")(_col(c))
 
 
-def escapes(c: Column) -> Column:
-    return _column(c, ESCAPED)
-
+def clean_text(c: Column | str, doc_type: str | None = None, language: str = "en") -> Column:
+    """The whole cleaner: line breaks, markup, quotes, dot leaders, missing blanks. Null stays null, empty stays empty."""
+    return _step(lambda t: clean(t, doc_type, language), c)
 
-def strip_tags(c: Column) -> Column:
-    """Drop markup tags, plain and escaped."""
-    return _column(c, TAGS)
 
+def escapes(c: Column | str) -> Column:
+    """Written line breaks become line breaks."""
+    return _step(cleaning.unescape, c)
 
-def plain_quotes(c: Column) -> Column:
-    return _column(c, QUOTES)
 
+def strip_tags(c: Column | str) -> Column:
+    """Without markup tags, plain and escaped."""
+    return _step(cleaning.strip_tags, c)
 
-def _connected(c: Column) -> Column:
-    parts = F.split(c, " ", -1)
-    address = lambda w: F.lit(False) | w.contains(ADDRESS_MARKS[0]) | w.contains(ADDRESS_MARKS[1]) | w.contains(ADDRESS_MARKS[2]) | w.contains(ADDRESS_MARKS[3]) | w.contains(ADDRESS_MARKS[4]) | w.contains(ADDRESS_MARKS[5])
-    fixed = lambda w: _column(_column(w, _CONNECTED[:1]), _CONNECTED[1:])
-    # only texts with a connected period are taken apart
-    return F.when(c.rlike(r"[a-z0-9]\.[A-Z]"), F.array_join(F.transform(parts, lambda w: F.when(address(w), w).otherwise(fixed(w))), " ")).otherwise(c)
 
+def drop_repeats(c: Column | str) -> Column:
+    return _step(cleaning.drop_repeats, c)
 
-def clean_text(c: Column | str, doc_type: str | None = None, language: str = "en") -> Column:
-    """The whole cleaner: line breaks, markup, quotes, dot leaders, missing spaces. Null stays null, empty stays empty."""
-    c = F.col(c) if isinstance(c, str) else c
-    if language == "ja":
-        return _column(c, _JA_LINE)
-    c = _column(c, ESCAPED + IN_SENTENCE + IN_WORD + DOUBLE + (PDF_LINES if doc_type == "pdf" else LINES) + TAGS + INLINE + QUOTES + CONTENTS)
-    return _column(_connected(c), REPEATED)
 
-
-def clean(text: str | None, doc_type: str | None = None, language: str = "en") -> str | None:
-    """The same for one string."""
-    if not text:
-        return text
-    if language == "ja":
-        return _text(text, _JA_LINE)
-    text = _text(text, ESCAPED + IN_SENTENCE + IN_WORD + DOUBLE + (PDF_LINES if doc_type == "pdf" else LINES) + TAGS + INLINE + QUOTES + CONTENTS)
-    words = [w if any(k in w for k in ADDRESS_MARKS) else _text(w, _CONNECTED) for w in text.split(" ")]
-    return _text(" ".join(words), REPEATED)
+def plain_quotes(c: Column | str) -> Column:
+    return F.replace(F.translate(_col(c), "`", "'"), F.lit("''"), F.lit('"'))
 
 
 def strip_zero_width(c: Column | str) -> Column:
     """Without zero-width signs in the white space at either end; those inside words stay."""
-    c = F.col(c) if isinstance(c, str) else c
-    edge = rf"[\s\x85\xa0  -     　{ZERO_WIDTH}]"
+    c = _col(c)
+    edge = f"[{_WHITE}{ZERO_WIDTH}]"
     head = F.regexp_extract(c, rf"\A({edge}*)", 1)
-    body = F.regexp_replace(c, rf"\A{edge}+", "")
+    body = F.substring(c, F.length(head) + 1, F.length(c))
     core = F.regexp_replace(body, rf"{edge}+\z", "")
     tail = F.substring(body, F.length(core) + 1, F.length(body))
     bare = lambda x: F.translate(x, ZERO_WIDTH, "")
     return F.concat(bare(head), core, bare(tail))
 
 
-def terminal_mark(c: Column | str, marks: str = "。．.！!?？") -> Column:
-    """The sentence mark a text ends with, closers aside; null if it ends without one."""
-    c = F.col(c) if isinstance(c, str) else c
-    found = F.regexp_extract(c, rf"([{re.escape(marks)}])(?:{_CLOSERS}|[\s{ZERO_WIDTH}])*\z", 1)
+def terminal_mark(c: Column | str, language: str = "en") -> Column:
+    """The sentence mark of the language that a text ends with, closers aside; null if it ends without one."""
+    from sentria import registry
+
+    marks = "".join(sorted(registry.profile(language).marks))
+    found = F.regexp_extract(_col(c), rf"([{re.escape(marks)}])(?:{_CLOSING}|[{_WHITE}{ZERO_WIDTH}])*\z", 1)
     return F.nullif(found, F.lit(""))
 
 
 def hard_lines(c: Column | str) -> Column:
     """Pieces between line breaks, without empty ones."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.filter(F.split(c, "[\r\n]", -1), lambda x: x != "")
+    return F.filter(F.split(_col(c), "[\r\n]", -1), lambda x: x != "")

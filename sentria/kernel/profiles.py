@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from sentria.kernel import lexicon as lx
@@ -12,6 +13,33 @@ MONTHS_DE = frozenset("januar februar märz april mai juni juli august september
 MONTHS_SK = frozenset("január február marec apríl máj jún júl august september október november december januára februára marca apríla mája júna júla augusta septembra októbra novembra decembra".split())
 
 
+@dataclass(frozen=True)
+class Hooks:
+    """Functions that a language of one's own puts behind a step; they travel to the executors by value.
+
+    Steps that judge one run of marks get (line, place of the run, verdict) and return the verdict: the place after which
+    the sentence ends, or None where it goes on. Steps over a line get (line, what the step found) and return the same kind.
+    """
+
+    abbreviations: Callable[[str, int, int | None], int | None] | None = None  # a period after a short form or initial
+    numbers: Callable[[str, int, int | None], int | None] | None = None  # a period after a digit or sign, before a space
+    continuous: Callable[[str, int, int | None], int | None] | None = None  # several marks in a row
+    references: Callable[[str, int, int | None], int | None] | None = None  # a period with a reference number behind it
+    between: Callable[[str, list], list] | None = None  # quoted and bracketed stretches: (start, end)
+    split: Callable[[str, set], set] | None = None  # places of boundaries, as judged
+    resplit: Callable[[str, set], set] | None = None  # after list items and long quotations
+    orphans: Callable[[str, set], set] | None = None  # after fragments were merged
+    classify: Callable[[str, str], str] | None = None  # a token's kind: short, title, number, initial, initialism or nothing
+
+    def judge(self, step: str, line: str, at: int, verdict: int | None) -> int | None:
+        hook = getattr(self, step)
+        return hook(line, at, verdict) if hook else verdict
+
+    def over(self, step: str, line: str, found):
+        hook = getattr(self, step)
+        return hook(line, found) if hook else found
+
+
 @dataclass(frozen=True)
 class Profile:
     """One language's data; custom languages are profiles of their own, sent to the executors by value."""
@@ -35,6 +63,7 @@ class Profile:
     lower_initials: bool = False
     initialism_rank: int = 1  # split mode rank from which an initialism ends a sentence before a capital
     probes: tuple[str, str] = ("a", "A")  # lower-case and capital continuations for the stability probe
+    hooks: Hooks | None = None
     starters: frozenset[str] = frozenset()  # short forms before names that end a sentence before a common opener
 
     def with_abbreviations(self, words, before_name=(), before_number=()) -> Profile:

@@ -28,15 +28,24 @@ _INITIALISM = re.compile(r"(?:[^\W\d_]{1,3}\.)+[^\W\d_]\Z")
 _CJK = re.compile(r"[぀-ヿ㐀-䶿一-鿿豈-﫿가-힯]")
 _SPACED_LETTER = re.compile(r"(?:^|[\s(])[^\W\d_]\.\s\Z")
 _TIME = re.compile(r"(?i)\d\s*(?:a|p)\.\s?m\Z")
-_ZONE = re.compile(r"(?:(?:Eastern|Central|Mountain|Pacific|Atlantic|Alaska|Hawaii(?:-Aleutian)?|Newfoundland)\s+(?:(?:Standard|Daylight|Summer)\s+)?Time|Coordinated\s+Universal\s+Time|Greenwich\s+Mean\s+Time|[ECMP][SD]T|GMT|UTC|CET|CEST|WET|WEST|EET|EEST|BST|MSK|IST|JST|KST|HKT|SGT|(?:AE|NZ)[SD]T|AST|AKST|HST|NST|[ECMPA]\.[SD]\.T|G\.M\.T|U\.T\.C)(?=\s|\.|$)")
 _ROMAN = re.compile(r"[IVXLCDM]+\b")
 _NUMBER_ITEM = re.compile(r"(?:(?<=\s)|^|(?<=[•⁃]))(\d{1,2})(\.\)|\.|\))(?=\s)")
 _LETTER_ITEM = re.compile(r"(?:(?<=\s)|^)\(?([a-z]|[ivx]{1,5})(\.|\))(?=\s\S)")
 _BULLET = re.compile(r"(?<=\s)(?=[•⁃]\s?\d)")
 _REFERENCE = re.compile(r"(?:\[\d{1,3}(?:,?\s?-?\s?\d{1,3})*\])+|\d{1,3}(?=\s+[A-Z])")
-_EXTENSION = re.compile(r"(?i)\.(?:jpe?g|png|gif|tiff?|pdf|ps|docx?|xlsx?|svg|bmp|tga|exif|odt|html?|txt|rtf|bat|sxw|xml|zip|exe|msi|blend|wmv|mp[34]|pptx?|flac|rb|cpp|cs|js|net)\b")
-_EXCLAIMED = re.compile(r"[!ǃ](?:X[ũuûo]\w*|Kung(?:-Ekoka)?|ʼOǃKung|Hu|Khung|Ku|ung|Xun|Xung)|Yahoo!|Y!J|Yum!")
 _REPORTING = re.compile(r"^\s*(?:[一-鿿]{0,4}(?:说|說|道|问|問|喊|叫|答|表示)(?:道|了|着)?(?=[。，,：:！？!?]|\Z)|[一-鿿぀-ヿ]{0,6}(?:言|叫|答|話|述|尋|聞|思)(?:っ|い|え|ね|べ|し)?[た]|と|っ)")
+# Names and short forms of time zones, which a time of day goes on with.
+_ZONE_NAMES = "Eastern Central Mountain Pacific Atlantic Alaska Hawaii Hawaii-Aleutian Newfoundland".split()
+_ZONE_KINDS = "Standard Daylight Summer".split()
+_ZONE_PHRASES = ("Coordinated Universal Time", "Greenwich Mean Time")
+_ZONE_CODES = frozenset(
+    """
+    EST EDT CST CDT MST MDT PST PDT GMT UTC CET CEST WET WEST EET EEST BST MSK IST JST KST HKT SGT AEST AEDT NZST NZDT
+    AST AKST HST NST E.S.T E.D.T C.S.T C.D.T M.S.T M.D.T P.S.T P.D.T A.S.T A.D.T G.M.T U.T.C
+    """.split()
+)
+# Words that hold an exclamation mark.
+EXCLAMATION_WORDS = "!Xũ !Kung ǃʼOǃKung !Xuun !Kung-Ekoka ǃHu ǃKhung ǃKu ǃung ǃXo ǃXû ǃXung ǃXũ !Xun Yahoo! Y!J Yum!".split()
 # Phrases that an initialism never ends before, and titles that introduce a name.
 _JOINED = {"d.c": ("circuit",), "e.u": ("commission",), "l.a": ("times",), "u.n": ("general assembly", "secretary general", "secretary-general", "security council"), "u.s": ("court of", "courts", "department", "district court", "embassy", "government", "supreme court")}
 _TITLES = frozenset("dr mr mrs ms miss mx prof rev hon sr fr sir dame gen col capt lt sgt maj sen rep gov pres phd md dds esq".split())
@@ -45,6 +54,34 @@ _LIST_PROSE = re.compile(r"(?:above|and|below|or|bis|bzw\.?|sowie|und|oder)\s*$"
 _STARTERS = frozenset("the a an this that these those it he she they we you i in on at if when while after before but and however there here his her their our my its as for to".split())
 
 
+_HAS_MARK = frozenset("!ǃ")
+
+
+def _zone(ahead: str) -> bool:
+    """Whether a time zone begins here."""
+    words = ahead.split(None, 3)
+    if not words:
+        return False
+    if words[0].rstrip(".") in _ZONE_CODES:
+        return True
+    phrase = [w.rstrip(".") for w in words[:3]]
+    if words[0] in _ZONE_NAMES:
+        return phrase[1:2] == ["Time"] or phrase[1:3] in [[kind, "Time"] for kind in _ZONE_KINDS]
+    return " ".join(phrase) in _ZONE_PHRASES
+
+
+def _exclamation_words(text: str) -> list[Span]:
+    """Words of the fixed list, the longest at each place."""
+    out: list[Span] = []
+    for word in sorted(EXCLAMATION_WORDS, key=len, reverse=True):
+        at = text.find(word)
+        while at >= 0:
+            if not any(a <= at < b for a, b in out):
+                out.append((at, at + len(word)))
+            at = text.find(word, at + 1)
+    return out
+
+
 def rank(mode: str) -> int:
     return MODES.index(mode)
 
@@ -61,7 +98,8 @@ def _regions(line: str, p: Profile) -> list[Span]:
         pairs["”"] = "”"
     stack: list[tuple[str, int]] = []
     plain = -1
-    for i, c in enumerate(line):
+    for m in _signs(tuple(pairs.items())).finditer(line):
+        i, c = m.start(), m[0]
         if c == '"':
             if p.low_quotes and stack and stack[-1][0] == "„":
                 out.append((stack.pop()[1], i + 1))
@@ -92,6 +130,11 @@ def _regions(line: str, p: Profile) -> list[Span]:
     return out
 
 
+@lru_cache(maxsize=16)
+def _signs(pairs: tuple[tuple[str, str], ...]) -> re.Pattern:
+    return re.compile("[" + re.escape("".join(sorted({'"', *(c for pair in pairs for c in pair)}))) + "]")
+
+
 class _Line:
     """One physical line and what its boundaries depend on."""
 
@@ -100,7 +143,8 @@ class _Line:
         self.last = len(text.rstrip(_BLANK))
         self.begin = len(text) - len(text.lstrip(_BLANK))
         covered = bytearray(len(text) + 1)
-        self.regions = sorted(_regions(text, profile))
+        found = _regions(text, profile)
+        self.regions = sorted(profile.hooks.over("between", text, found) if profile.hooks else found)
         self.outer: dict[int, int] = {}  # places to the ends of the widest and the narrowest region around them
         self.inner: dict[int, int] = {}
         for a, b in self.regions:
@@ -111,8 +155,8 @@ class _Line:
                 around = [y for x, y in self._around(i)]
                 if around:
                     self.outer[i], self.inner[i] = max(around), min(around)
-        for m in _EXCLAIMED.finditer(text) if "!" in text or "ǃ" in text else ():
-            covered[m.start() : m.end()] = b"\1" * (m.end() - m.start())
+        for a, b in _exclamation_words(text) if not _HAS_MARK.isdisjoint(text) else ():
+            covered[a:b] = b"\1" * (b - a)
         self.covered = covered
         self.marks = _mark_run(profile)
 
@@ -122,15 +166,31 @@ class _Line:
         self.markers: set[int] = set()  # periods of list markers
         if self.p.family in ("latin", "mixed"):
             items = self._items()
+        hooks = self.p.hooks
         for m in self.marks.finditer(s):
             if m.start() in self.markers:
                 continue
             cut = self._judge(m.start(), m.end())
+            if hooks:
+                cut = hooks.judge(self._step(m.start(), m.end()), s, m.start(), cut)
             if cut is not None and 0 < cut < len(s):
                 cuts.add(cut)
+        if hooks:
+            cuts = hooks.over("split", s, cuts)
         if self.p.family in ("latin", "mixed"):
             cuts |= items | self._long_quotes()
-        return sorted(self._without_orphans(cuts))
+        if hooks:
+            cuts = hooks.over("resplit", s, cuts)
+        kept = self._without_orphans(cuts)
+        return sorted(hooks.over("orphans", s, kept) if hooks else kept)
+
+    def _step(self, a: int, b: int) -> str:
+        """Whose verdict a run of marks gets."""
+        if b - a > 1:
+            return "continuous"
+        if self._short_before(a):
+            return "abbreviations"
+        return "references" if b < len(self.s) and (self.s[b].isdigit() or self.s[b] == "[") and not self.s[a - 1 : a].isdigit() else "numbers"
 
     def _around(self, i: int) -> list[Span]:
         """Regions that hold place ``i``; of very many nested ones the last hundred to open."""
@@ -162,9 +222,9 @@ class _Line:
         s, p = self.s, self.p
         run = s[a:b]
         end, closers = self._after(b)
-        rest = s[end:]
-        if not rest.strip(ZERO_WIDTH + " \t "):
+        if end >= self.last:
             return None  # the line ends here anyway
+        rest = s[end : end + _AHEAD]
         spaced = rest[0].isspace() or rest[0] in ZERO_WIDTH
         nxt, at = self._next(end)
         inside = self.covered[a]
@@ -205,7 +265,7 @@ class _Line:
                     return None
                 return None if _REPORTING.match(s[end : end + _AHEAD]) else end
             return None
-        if not (nxt.isupper() or _CJK.match(nxt or " ")) or nxt.isdigit() or closers[-1:] in tuple(_QUOTE_CLOSERS) and s[end:].lstrip()[:1] in ("(", "["):
+        if not (nxt.isupper() or _CJK.match(nxt or " ")) or nxt.isdigit() or closers[-1:] in tuple(_QUOTE_CLOSERS) and s[end : end + _AHEAD].lstrip()[:1] in ("(", "["):
             return None
         if closers and all(c in ")]}" for c in closers):
             if run == "." and len(re.search(r"[a-zA-Z]*\Z", s[max(0, a - 3) : a])[0]) < 2:
@@ -269,7 +329,10 @@ class _Line:
 
     def _short_before(self, a: int) -> str:
         word, _ = self._token(a)
-        low = word.lower()
+        kind = self._kind(a, word, word.lower())
+        return self.p.hooks.classify(word, kind) if self.p.hooks and self.p.hooks.classify else kind
+
+    def _kind(self, a: int, word: str, low: str) -> str:
         if len(word) == 1 and word.isupper() and low not in self.p.before_name:
             return "initial"
         if low in self.p.before_name:
@@ -334,7 +397,7 @@ class _Line:
         if low == "in" and re.search(r"\d in\Z", s[max(0, a - 5) : a]) and "a" <= nxt <= "z":
             return None
         if _TIME.search(s[max(0, a - 12) : a]):
-            if nxt.isupper() and not _ZONE.match(s[at : at + _AHEAD]) and self.rank > 0:
+            if nxt.isupper() and not _zone(s[at : at + _AHEAD]) and self.rank > 0:
                 return end
             return None
         if len(word) == 1 and word.isalpha() and re.match(r"\s[^\W\d_]\.(?=\s|$|,)", rest) and (word.islower() or rest[1].isupper()):
@@ -414,9 +477,10 @@ class _Line:
     def _items(self) -> set[int]:
         s = self.s
         out: set[int] = set()
-        if any(c.isdigit() for c in s):
+        numbered = [m for m in _NUMBER_ITEM.finditer(s) if not self.covered[m.start()]]
+        if len(numbered) > 1:
             for sign in (".)", ")", "."):
-                found = [(m.start(), int(m[1]), m.end(1)) for m in _NUMBER_ITEM.finditer(s) if m[2] == sign and not self.covered[m.start()]]
+                found = [(m.start(), int(m[1]), m.end(1)) for m in numbered if m[2] == sign]
                 chosen = []
                 for k, (at, n, dot) in enumerate(found):
                     follows = k + 1 < len(found) and found[k + 1][1] == n + 1
@@ -430,8 +494,8 @@ class _Line:
                         continue
                     out |= {self._back(at) for at, _, _ in chosen}
                     self.markers |= {dot for _, _, dot in chosen}
-        for m in _BULLET.finditer(s):
-            out.add(m.start())
+        if "•" in s or "⁃" in s:
+            out |= {m.start() for m in _BULLET.finditer(s)}
         if self.p.letter_lists:
             found = [(m.start(), m[1], m[2]) for m in _LETTER_ITEM.finditer(s)]
             order = "abcdefghijklmnopqrstuvwxyz"
@@ -534,7 +598,11 @@ def spans(text: str | None, profile: Profile, mode: str = "balanced") -> list[Sp
 
 def sentences(text: str | None, profile: Profile, mode: str = "balanced") -> list[str]:
     """The spans' texts without zero-width signs and white space at their ends; empty ones are dropped."""
-    out = (text[a:b].strip().strip(ZERO_WIDTH).strip() for a, b in spans(text, profile, mode))
+    return shown(text, spans(text, profile, mode))
+
+
+def shown(text: str | None, found: list[Span]) -> list[str]:
+    out = (text[a:b].strip().strip(ZERO_WIDTH).strip() for a, b in found)
     return [x for x in out if x]
 
 
@@ -546,11 +614,7 @@ def terminal(text: str, profile: Profile) -> tuple[int, str] | None:
     return (k, text[k]) if k >= 0 and text[k] in profile.marks else None
 
 
-def waits(text: str | None, profile: Profile, mode: str = "balanced") -> bool:
-    """Whether more text could still move the last boundary."""
-    if not text or not text.strip():
-        return False
-    found = spans(text, profile, mode)
+def _unsettled(text: str, found: list[Span], profile: Profile, mode: str) -> bool:
     tail = text[found[-1][0] :].rstrip()
     mark = terminal(tail, profile)
     if mark is None:
@@ -559,5 +623,36 @@ def waits(text: str | None, profile: Profile, mode: str = "balanced") -> bool:
         return False
     expected = sentences(tail, profile, mode)
     low, high = profile.probes
-    probes = [f" {low}", f" {high}", " 1"] + (["1"] if mark[0] and tail[mark[0] - 1].isdigit() else [])
-    return any(sentences(tail + x, profile, mode)[: len(expected)] != expected or len(sentences(tail + x, profile, mode)) == len(expected) for x in probes)
+    for probe in [f" {low}", f" {high}", " 1"] + (["1"] if mark[0] and tail[mark[0] - 1].isdigit() else []):
+        after = sentences(tail + probe, profile, mode)
+        if after[: len(expected)] != expected or len(after) == len(expected):
+            return True
+    return False
+
+
+def lookahead(text: str | None, profile: Profile, mode: str = "balanced") -> tuple[list[Span], bool]:
+    """The spans, and whether more text could still move the last boundary; only the last span is read again."""
+    found = spans(text, profile, mode)
+    return found, bool(text and text.strip(_BLANK + "\r\n")) and _unsettled(text, found, profile, mode)
+
+
+def waits(text: str | None, profile: Profile, mode: str = "balanced") -> bool:
+    """Whether more text could still move the last boundary."""
+    return lookahead(text, profile, mode)[1]
+
+
+def protected(text: str | None, profile: Profile, mode: str = "balanced") -> list[int]:
+    """Places of periods that end no sentence."""
+    ends = {b for _, b in spans(text, profile, mode)}
+    kept, last = [], len((text or "").rstrip(_BLANK + _CLOSERS))
+    for m in _PERIOD.finditer(text or ""):
+        k = m.end()
+        while k < last and (text[k] in _PERIOD_CLOSERS or text[k].isspace()):
+            k += 1
+        if k not in ends and k < last:
+            kept.append(m.start())
+    return kept
+
+
+_PERIOD = re.compile("[.]")
+_PERIOD_CLOSERS = frozenset("\"'”’»)]}")

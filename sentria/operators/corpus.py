@@ -40,9 +40,14 @@ def longest_sentences(sentence_rows: DataFrame, k: int = 10) -> DataFrame:
 
 
 def repeated_sentences(sentence_rows: DataFrame, least: int = 2) -> DataFrame:
-    """Trimmed sentences of several documents, by partial aggregation over a 128-bit key; the text itself is not shuffled twice."""
-    keyed = sentence_rows.select("doc_id", F.trim("sent").alias("sent")).where("sent <> ''")
-    return keyed.groupBy("sent").agg(F.count("*").alias("n"), F.approx_count_distinct("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc")).where(F.col("n") >= least)
+    """Trimmed sentences that occur ``least`` times or more: how often, in how many documents, and the first of them.
+
+    Grouped by two 64-bit hashes, first within a document, so a sentence that very many documents hold is counted before the second shuffle.
+    """
+    keyed = sentence_rows.select("doc_id", F.trim("sent").alias("sent")).where("sent <> ''").select("doc_id", "sent", F.xxhash64("sent").alias("k1"), F.xxhash64(F.lit(1), "sent").alias("k2"))
+    counts = keyed.groupBy("k1", "k2", "doc_id").agg(F.count("*").alias("n"), F.min("sent").alias("sent"))
+    found = counts.groupBy("k1", "k2").agg(F.min("sent").alias("sent"), F.sum("n").alias("n"), F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
+    return found.where(F.col("n") >= least).select("sent", "n", "n_docs", "first_doc")
 
 
 def sentence_statistics(docs: DataFrame, language: str | Column = "en", mode: str = "balanced") -> DataFrame:
@@ -53,20 +58,24 @@ def sentence_statistics(docs: DataFrame, language: str | Column = "en", mode: st
 
 
 def tokens_with_sentence_starts(tokens: DataFrame, sentence_rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Mark the first token at or after each sentence's start: an interval join by document and a minimum per span.
+    """Mark the first token at or after each sentence's start, within the sentence.
 
-    ``tokens(key, token_id, idx, token)``; rows outside any sentence are not marked.
+    ``tokens(key, token_id, idx, token)``; rows outside any sentence are not marked. Tokens and starts are sorted together by
+    place, and every token takes the last start before it: one sort of both, no pair of a token and a sentence.
     """
-    spans = sentence_rows.select(key, "sent_id", "start", "end")
-    inside = tokens.join(spans, key).where((F.col("idx") >= F.col("start")) & (F.col("idx") < F.col("end")))
-    first = inside.groupBy(key, "sent_id").agg(F.min("idx").alias("idx")).select(key, "idx", F.lit(True).alias("is_sent_start"))
-    return tokens.join(first, [key, "idx"], "left").withColumn("is_sent_start", F.coalesce("is_sent_start", F.lit(False)))
+    names = [c for c in tokens.columns if c not in (key, "idx")]
+    marks = sentence_rows.select(key, F.col("start").alias("idx"), F.struct("start", "end").alias("_span"))
+    both = tokens.withColumn("_is_token", F.lit(1)).unionByName(marks.withColumn("_is_token", F.lit(0)), allowMissingColumns=True)
+    order = Window.partitionBy(key).orderBy("idx", "_is_token")
+    reached = both.withColumn("_in", F.last("_span", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).where("_is_token = 1")
+    first = F.coalesce(F.col("_in.start") != F.lag("_in.start").over(Window.partitionBy(key).orderBy("idx")), F.col("_in").isNotNull())
+    return reached.withColumn("is_sent_start", F.coalesce(first & (F.col("idx") < F.col("_in.end")), F.lit(False))).select(key, "idx", *names, "is_sent_start")
 
 
 def paragraphs(docs: DataFrame, text: str = "text", least: int = 40, most: int = 2000, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Blank-line paragraphs of ``least`` to ``most`` characters."""
-    parts = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), r"\n\s*\n", -1), lambda x: F.trim(x))
-    return docs.select(*keep, F.posexplode(F.filter(parts, lambda x: F.length(x).between(least, most))).alias("paragraph_id", "paragraph"))
+    """Blank-line paragraphs of ``least`` to ``most`` characters that hold a sentence mark, white space made single blanks."""
+    parts = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), r"\n\s*\n", -1), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
+    return docs.select(*keep, F.posexplode(F.filter(parts, lambda x: F.length(x).between(least, most) & x.rlike("[.!?。！？]"))).alias("paragraph_id", "paragraph"))
 
 
 def languages(spark) -> DataFrame:

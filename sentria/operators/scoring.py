@@ -65,16 +65,43 @@ def scoreboard(units: DataFrame) -> DataFrame:
 
 
 def divergences(units: DataFrame, k: int = 120) -> DataFrame:
-    """Units that segmenters read differently, the most different first: ``units(unit_id, segmenter, pred)``."""
-    by_unit = units.groupBy("unit_id").agg(F.count_distinct("pred").alias("n_readings"), F.count("*").alias("n"))
-    return by_unit.where("n_readings > 1").orderBy(F.desc("n_readings"), "unit_id").limit(k)
+    """Units that segmenters read differently, the most different first: ``units(unit_id, segmenter, pred)``.
 
+    Ranked by the number of different readings, then by the boundaries that not all segmenters have.
+    """
+    by_unit = units.withColumn("at", boundaries("pred")).groupBy("unit_id").agg(F.count_distinct("pred").alias("n_readings"), F.count("*").alias("n"), F.flatten(F.collect_list("at")).alias("all"))
+    apart = F.size(F.filter(F.array_distinct("all"), lambda x: F.size(F.filter(F.col("all"), lambda y: y == x)) < F.col("n")))
+    return by_unit.where("n_readings > 1").withColumn("n_disputed", apart).select("unit_id", "n_readings", "n", "n_disputed").orderBy(F.desc("n_readings"), F.desc("n_disputed"), "unit_id").limit(k)
+
+
+# Points of exact match that a corpus may lose; others have the default.
+EM_TOLERANCES = {"golden_rules": 0.0, "ud_zh_gsd": 0.0}
+EM_TOLERANCE, F1_TOLERANCE = 0.034, 0.015
 
-def gate(scores: DataFrame, baseline: DataFrame, tolerance: float = 0.034, f1_tolerance: float = 0.015) -> DataFrame:
-    """Buckets whose scores fell below the baseline by more than the tolerance."""
+
+def gate(scores: DataFrame, baseline: DataFrame, tolerances: dict[str, float] | None = None, tolerance: float = EM_TOLERANCE, f1_tolerance: float = F1_TOLERANCE) -> DataFrame:
+    """Buckets whose scores fell below the baseline by more than their tolerance, with both drops. A bucket that is missing fails."""
+    own = EM_TOLERANCES if tolerances is None else tolerances
     b = baseline.select("bucket", F.col("exact_match").alias("base_em"), F.col("boundary_f1").alias("base_f1"))
-    joined = scores.join(b, "bucket")
-    return joined.where((F.col("exact_match") < F.col("base_em") - tolerance) | (F.col("boundary_f1") < F.col("base_f1") - f1_tolerance))
+    allowed = F.lit(tolerance)
+    for bucket, value in own.items():
+        allowed = F.when(F.col("bucket") == bucket, F.lit(value)).otherwise(allowed)
+    joined = b.join(scores.select("bucket", "exact_match", "boundary_f1"), "bucket", "left").withColumn("em_drop", F.col("base_em") - F.col("exact_match")).withColumn("f1_drop", F.col("base_f1") - F.col("boundary_f1"))
+    return joined.where(F.col("exact_match").isNull() | (F.col("em_drop") > allowed + 1e-12) | (F.col("f1_drop") > f1_tolerance + 1e-12)).select("bucket", "em_drop", "f1_drop")
+
+
+def compare_profiles(units: DataFrame, profiles: tuple[str, ...] = ("en", "en_legal")) -> DataFrame:
+    """Each unit's sentences under several profiles, and their scores where ``units(unit_id, text, gold)`` has gold."""
+    from sentria.functions.sentences import sentences
+
+    out = units
+    for name in profiles:
+        out = out.withColumn(name, sentences("text", name))
+    scores = [c for name in profiles for c in (F.size(name).alias(f"n_{name}"), F.when(F.col("gold").isNotNull(), exact_match(name, "gold")).alias(f"em_{name}"), boundary_scores(name, "gold").getField("f1").alias(f"f1_{name}"))]
+    same = F.lit(True)
+    for name in profiles[1:]:
+        same = same & (F.col(name) == F.col(profiles[0]))
+    return out.select("unit_id", *scores, same.alias("same"))
 
 
 def snapshot_difference(now: DataFrame, before: DataFrame) -> DataFrame:
@@ -89,9 +116,13 @@ def latency_statistics(measured: DataFrame, by: str = "name", value: str = "seco
 
 
 def emission_lag(emitted: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Tokens between a sentence's last character and its emission: ``emitted(stream_id, end, at_token)``, ``tokens(stream_id, token_id, size)``."""
+    """Tokens between a sentence's last character and its emission: ``emitted(stream_id, end, at_token)``, ``tokens(stream_id, token_id, size)``.
+
+    Ends and the tokens' reaches are sorted together, and every end takes the first token that reaches it.
+    """
     order = Window.partitionBy("stream_id").orderBy("token_id").rowsBetween(Window.unboundedPreceding, 0)
-    reach = tokens.withColumn("reach", F.sum("size").over(order))
-    met = emitted.join(reach, "stream_id").where(F.col("reach") >= F.col("end"))
-    first = met.groupBy("stream_id", "end", "at_token").agg(F.min("token_id").alias("token_id"))
-    return first.withColumn("lag", F.col("at_token") - F.col("token_id"))
+    reach = tokens.select("stream_id", F.sum("size").over(order).alias("end"), "token_id")
+    both = emitted.select("stream_id", "end", "at_token").unionByName(reach, allowMissingColumns=True)
+    after = Window.partitionBy("stream_id").orderBy("end", F.col("token_id").asc_nulls_first()).rowsBetween(0, Window.unboundedFollowing)
+    met = both.withColumn("first", F.first("token_id", ignorenulls=True).over(after)).where("at_token is not null")
+    return met.select("stream_id", "end", "at_token", F.col("first").alias("token_id"), (F.col("at_token") - F.col("first")).alias("lag"))

@@ -69,6 +69,20 @@ def release(*tables: DataFrame | None) -> None:
             p.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
+#: A table of fewer bytes a core is dealt anew before it meets Python; larger ones have splits enough.
+SPREAD_BYTES = 8 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, if it is small: a small file is one row group, which one task would read alone.
+
+    The rows are the same either way; a large table is not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPREAD_BYTES and df.rdd.getNumPartitions() < 4 * cores else df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables; only Spark's readers touch the path."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

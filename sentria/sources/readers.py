@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sentria.operators.corpus import paragraphs
+
 UNIT = "corpus string, genre string, language string, unit_id string, text string, gold array<string>"
 
 
@@ -18,6 +20,18 @@ def gold_units(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(UNIT).json(path)
 
 
+def golden_rules(spark: SparkSession, rules: list[tuple[str, str, list[str]]]) -> DataFrame:
+    """Units from rules in code: (language, text, sentences)."""
+    rows = [("golden_rules", "rule-test", code, f"{code}-{i:03d}", text, gold) for i, (code, text, gold) in enumerate(rules, 1)]
+    return spark.createDataFrame(rows, UNIT)
+
+
+def plain_units(docs: DataFrame, corpus: str, genre: str, language: str, unit: str = "path") -> DataFrame:
+    """Units without gold: the paragraphs of free texts such as books, articles or judgments (:func:`texts`)."""
+    rows = paragraphs(docs.select(unit, "text"), keep=(unit,))
+    return rows.select(F.lit(corpus).alias("corpus"), F.lit(genre).alias("genre"), F.lit(language).alias("language"), F.concat_ws("#", unit, "paragraph_id").alias("unit_id"), F.col("paragraph").alias("text"), F.lit(None).cast("array<string>").alias("gold"))
+
+
 def conll_u(spark: SparkSession, path: str, language: str) -> DataFrame:
     """Sentences of CoNLL-U files from their ``# text`` lines, one unit a file."""
     lines = F.split("value", "\n")
@@ -33,3 +47,8 @@ def deltas(spark: SparkSession, path: str, schema: str = "stream_id long, seq lo
 
 def write_results(df: DataFrame, path: str, form: str = "json") -> None:
     df.write.mode("overwrite").format(form).save(path)
+
+
+def drain_stream(df: DataFrame, path: str, checkpoint: str, form: str = "parquet"):
+    """Start writing a stream's finished sentences to files, each micro-batch once; ``availableNow`` drains what is there and stops."""
+    return df.writeStream.format(form).outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
