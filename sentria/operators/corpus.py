@@ -4,16 +4,49 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from sentria import registry
-from sentria.functions.sentences import sentence_spans, sentences
+from sentria.functions.sentences import sentences
+from sentria.kernel import segment
 from sentria.kernel.profiles import Profile
+from sentria.options import Options
+from sentria.runtime import ship
 
 
 def explode_sentences(docs: DataFrame, text: str = "text", language: str | Profile | Column = "en", mode: str = "balanced", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """A row per sentence: the kept columns, sent_id, sent, start, end. No shuffle; only needed columns are read."""
-    spans = docs.select(*keep, sentence_spans(F.col(text), language, mode).alias("spans"))
-    return spans.select(*keep, F.posexplode("spans").alias("sent_id", "s")).select(*keep, "sent_id", "s.sent", "s.start", "s.end")
+    """A row per sentence: the kept columns, sent_id, sent, start, end. No shuffle; only needed columns are read.
+
+    Rows of an unknown language code have no sentences. The rows are made in Arrow: arrays of spans would cross to the JVM first.
+    """
+    Options(split_mode=mode)
+    ship(docs.sparkSession)
+    by_row = isinstance(language, Column)
+    known = dict(registry.LANGUAGE_CODES) if by_row else {None: registry.profile(language)}
+    chosen = docs.select(*keep, F.col(text).alias("_text"), *([language.alias("_lang")] if by_row else []))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = batch.column(len(keep)).to_pylist()
+            codes = batch.column(len(keep) + 1).to_pylist() if by_row else [None] * len(texts)
+            for begin in range(0, len(texts), 200):  # a batch of long texts has very many sentences
+                rows, ids, sents, starts, ends = [], [], [], [], []
+                for at in range(begin, min(begin + 200, len(texts))):
+                    if codes[at] in known:
+                        found = segment.spans(texts[at], known[codes[at]], mode)
+                        rows += [at] * len(found)
+                        ids += range(len(found))
+                        starts += [a for a, _ in found]
+                        ends += [b for _, b in found]
+                        sents += [texts[at][a:b] for a, b in found]
+                at = pa.array(rows, pa.int64())
+                values = [pa.array(ids, pa.int32()), pa.array(sents, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(len(keep))), *values], names=[*keep, "sent_id", "sent", "start", "end"])
+
+    schema = StructType([*(docs.schema[k] for k in keep), StructField("sent_id", IntegerType()), StructField("sent", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType())])
+    return chosen.mapInArrow(run, schema)
 
 
 def hard_segments(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
