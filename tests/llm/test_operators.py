@@ -348,6 +348,33 @@ def test_vector_search_against_brute_force(spark):
     near = {(y.query_id, y.vec_id) for y in vector_search.search(vector_search.build_index(table, shard_rows=200), queries).collect()}
     assert len(near & {(y.query_id, y.vec_id) for y in exact}) >= 0.9 * len(exact)
     assert vector_search.search(vector_search.build_index(table.limit(0)), queries).count() == 0
+    # many cells, split ones, and the same answers
+    small = vector_search.build_index(table, shard_rows=20, cell_rows=40)
+    assert len(small.cells[8][0]) > 10 and small.shards.count() > len(small.cells[8][0])
+    again = vector_search.search(small, queries, factor=1.0, block_rows=3).collect()
+    assert sorted(map(str, again)) == sorted(map(str, exact))
+
+
+def test_cells_and_trees_prune_clustered_vectors():
+    r = np.random.default_rng(5)
+    centres = r.normal(size=(40, 16))
+    v = (centres[r.integers(0, 40, 4000)] + 0.1 * r.normal(size=(4000, 16))).astype(np.float32).astype(float)
+    ids = np.arange(4000)
+    tree = vector_search.VantageTree.build(ids, v)
+    asked = v[::100]
+    exact = tree.search(asked, ids[::100], 10, 1.0)[0]
+    assert tree.scored < 0.2 * len(asked) * len(v)
+    d = np.sort(np.sqrt(((asked[:, None] - v[None]) ** 2).sum(axis=2)), axis=1)[:, 1:11]
+    assert np.allclose(exact, d)
+    pivots = v[:60]
+    cell = vector_search._distances(v, pivots)
+    radii = np.array([cell[cell.argmin(axis=1) == c, c].max() for c in range(60)])
+    open_ = vector_search.open_cells(asked, pivots, radii, exact[:, -1], 1.0)
+    own = cell[::100].argmin(axis=1)
+    near = np.argsort(np.sqrt(((asked[:, None] - v[None]) ** 2).sum(axis=2)), axis=1)[:, 1:11]
+    assert all(open_[q, c] or c == own[q] for q in range(len(asked)) for c in cell[near[q]].argmin(axis=1))
+    assert open_.mean() < 0.2
+    assert vector_search.tuned_factor(ids, v) <= 1.0
 
 
 # ---- 8
