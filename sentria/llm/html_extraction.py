@@ -1,14 +1,17 @@
 """Operator 6: main text of web pages by deducing each host's template from equivalence classes.
 
-A page becomes a sequence of tokens: tags and whole text blocks, each told apart by the path of elements it stands in.
-A token's occurrence vector holds its number of occurrences on each page of the host; tokens with one vector form an
+A page becomes a sequence of tokens: whole text blocks, and the elements around them, each told apart by the path of elements it stands
+in. A token's occurrence vector holds its number of occurrences on each page of the host; tokens with one vector form an
 equivalence class. Vectors are compared by an order-free hash that is summed over pages, so a host's pages are never
-gathered, however many it has; copies of one page count as one page. Classes on every page of the host, or on half of
-the pages with at least three tokens, are the template, and their text tokens are template text, in ``article`` and ``main``
-too. A class's order and nesting are not tested. A page that holds only template text keeps it. Every block that neither
-the template nor its elements explain is article text; pages with ``article`` or ``main`` name the element that holds it
-themselves. Elements whose kind or class says menu, header, footer, sidebar, notice, advert, form, script, style or comment
-hold no article text.
+gathered, however many it has; copies of one page count as one page.
+
+A class on every page of the host, or on half of the pages with at least three tokens, is a candidate if it holds text. A second
+pass over the pages tests it: it is ordered if a page shows its tokens as whole repeats of one order, the same on all pages, and it nests if
+every other class's repeats lie between two of its tokens or around it; of two classes that cross, the one of fewer tokens
+fails. Classes that pass on nine tenths of their pages are the template, nested as they stand; what lies between their tokens are its
+slots, and the slots' text is extracted, in ``article`` and ``main`` too. A page that holds only template text keeps it.
+Pages with ``article`` or ``main`` name the element that holds the article themselves. Elements whose kind or class says menu, header, footer,
+sidebar, notice, advert, form, script, style or comment hold no article text.
 
 Defined results: null html is empty html, with empty text; a null url belongs to the host of no name; rows are kept one
 by one; a host of one page has no template, and its pages are read by their elements alone; unfinished tags at
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentria.llm.tokens import text_groups
-from sentria.runtime import materialize, read_table, ship
+from sentria.runtime import materialize, read_table, release, ship
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|title|object|select)\b[^>]*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s>/]*+)((?:\"[^\"]*+\"|'[^']*+'|[^>\"'])*+)>|<(/?)([a-zA-Z][^\s>/]*+)([^>]*+)>|<[!?][^>]*+>",
@@ -37,6 +40,8 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul head".split())
 _BOILER = frozenset("nav footer aside form menu dialog button fieldset head input label".split())
 _BOILER_CLASS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner menu nav navbar navigation sidebar sidenav footer header masthead cookie cookies consent gdpr notice notification alert newsletter subscribe subscription comment comments reply replies disqus related recommended share sharing social breadcrumb breadcrumbs pagination pager popup modal overlay widget toolbar login signup search hidden".split())
+#: Words that say nothing beside those of _BOILER_CLASS: a class is boilerplate if all its words are in either list.
+_NEUTRAL = frozenset("site page top bottom main global left right primary secondary box block bar list section area container content wrapper inner outer post posts article articles link links item items row col column form button buttons icon text group user unit slot zone js is has no".split())
 _BOILER_ROLE = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar toolbar".split())
 _ROOT = frozenset(("article", "main"))
 _HOST = re.compile(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)")
@@ -64,7 +69,11 @@ def _names(attributes: str) -> tuple[str, frozenset[str], bool]:
             boiler |= value in ("", "true", "hidden")
         else:
             classes += "." + re.sub(r"[0-9]+", "0", value)
-            words.update(re.split(r"[\s_-]+", value))
+            for name in value.split():
+                parts = [x for x in re.split(r"[_-]+|[0-9]+", name) if x]
+                # "article-header" is an article's, "site-header" is not
+                if parts and all(x in _BOILER_CLASS or x in _NEUTRAL for x in parts) and not (parts[0] in ("article", "post", "content", "text") and len(parts) > 1):
+                    words.update(parts)
     return classes, frozenset(words), boiler
 
 
@@ -141,24 +150,69 @@ def _hash(*parts: str) -> int:
     return (zlib.crc32(raw) << 31) ^ zlib.adler32(raw) ^ len(raw)
 
 
-def page_tokens(page: str | None) -> tuple[Counter, set[int]]:
-    """Occurrences of a page's tokens (paths and text blocks), and which of them are text blocks."""
-    counts: Counter = Counter()
+def page_sequence(page: str | None) -> tuple[list[int], set[int]]:
+    """A page's tokens in order: for each text block its path's elements and the block; and which of them are text blocks."""
+    out: list[int] = []
     texts: set[int] = set()
+    paths: dict[tuple[str, ...], list[int]] = {}
     for path, text, _, _ in blocks(page):
+        if path not in paths:
+            paths[path] = [_hash("path", *path[:n]) for n in range(1, len(path) + 1)]
         key = _hash("text", *path, text)
         texts.add(key)
-        counts[key] += 1
-        for n in range(1, len(path) + 1):
-            counts[_hash("path", *path[:n])] += 1
-    return counts, texts
+        out += [*paths[path], key]
+    return out, texts
+
+
+def page_tokens(page: str | None) -> tuple[Counter, set[int]]:
+    """Occurrences of a page's tokens, and which of them are text blocks."""
+    sequence, texts = page_sequence(page)
+    return Counter(sequence), texts
+
+
+def class_orders(sequence: list[int], member: dict[int, tuple[int, int]]) -> dict[int, int]:
+    """A hash of each class's order on one page, or 0 if the class is out of order or crosses a larger one.
+
+    ``member`` maps a token to its class and the class's size.
+    """
+    seen: dict[int, list[int]] = {}
+    sizes: dict[int, int] = {}
+    for t in sequence:
+        if t in member:
+            seen.setdefault(member[t][0], []).append(t)
+            sizes[member[t][0]] = member[t][1]
+    out: dict[int, int] = {}
+    place: dict[int, int] = {}
+    for c, own in seen.items():
+        m = len(set(own))
+        ordered = len(own) % m == 0 and all(own[i] == own[i - m] for i in range(m, len(own)))
+        out[c] = hash(tuple(own[:m])) | 1 if ordered else 0
+        place.update({t: i for i, t in enumerate(own[:m])} if ordered else {})
+    # repeats open and close like brackets
+    length = {c: len(set(own)) for c, own in seen.items()}
+    open_: list[int] = []
+    for t in sequence:
+        c = member[t][0] if t in member else None
+        if c is None or not out[c] or length[c] == 1:
+            continue
+        if place[t] == 0:
+            open_.append(c)
+            continue
+        while out[c] and open_ and open_[-1] != c:
+            loser = min(c, open_[-1], key=lambda x: (sizes[x], x))
+            out[loser] = 0
+            open_ = [x for x in open_ if x != loser]
+        if out[c] and place[t] == length[c] - 1 and open_:
+            open_.pop()
+    return out
 
 
-def deduce_templates(pages: DataFrame, least_pages: int = 3, least_share: float = 0.5, least_class: int = 3) -> DataFrame:
+def deduce_templates(pages: DataFrame, least_pages: int = 3, least_share: float = 0.5, least_class: int = 3, least_valid: float = 0.9) -> DataFrame:
     """Templates as rows (host, text_tokens): the hashes of template text.
 
-    Pages are counted by content: c copies of one page weigh 1 / c each. A class is the template's if it is on every page,
-    or on ``least_share`` of them with at least ``least_class`` tokens; text that several articles share is a class of its own.
+    Pages are counted by content: c copies of one page weigh 1 / c each. A class is a candidate if it is on every page,
+    or on ``least_share`` of them with at least ``least_class`` tokens; text that several articles share is a class of its own. It is the
+    template's if its order and nesting hold on ``least_valid`` of its pages.
 
     Two partial aggregations over (host, token); a row per host remains, with the tokens of at least ``least_share`` of
     its pages, which are fewer than the tokens of 1 / least_share pages.
@@ -188,6 +242,7 @@ def deduce_templates(pages: DataFrame, least_pages: int = 3, least_share: float
 
     content = F.md5(F.coalesce("html", F.lit("")))
     copied = materialize(pages.select(_host().alias("host"), content.alias("content")).groupBy("host", "content").agg(F.count("*").alias("copies")).where("copies > 1"), "copied-pages")
+    copied_table = copied
     if copied.count() <= BROADCAST_COPIES:
         copied = F.broadcast(copied)
     named = pages.select("url", "html", _host().alias("host"), content.alias("content")).join(copied, ["host", "content"], "left")
@@ -199,7 +254,66 @@ def deduce_templates(pages: DataFrame, least_pages: int = 3, least_share: float
     # equivalence classes: tokens of one occurrence vector; large enough ones are the template's
     sizes = kept.groupBy("host", "vector").agg(F.count("*").alias("size"))
     members = kept.join(sizes, ["host", "vector"]).withColumn("template", (F.col("size") >= least_class) | (F.col("n_pages") > F.col("all_pages") - 1e-6))
-    return materialize(members.where("template and is_text").groupBy("host").agg(F.sort_array(F.collect_set("token")).alias("text_tokens")), "templates")
+    members = materialize(members.where("template").select("host", "vector", "token", "size", "is_text"), "classes")
+    texts = members.where("is_text").select("host", "vector").distinct()
+    candidates = materialize(members.join(texts, ["host", "vector"]).groupBy("host").agg(F.sort_array(F.collect_list(F.struct("token", "vector", "size"))).alias("classes")), "candidates")
+
+    def test(rows):
+        """(host, class, order) and the pages' weight, from rows of (host, html, copies, classes)."""
+        import pyarrow as pa
+
+        sums: dict[tuple, float] = {}
+        for host, page, n_copies, member in rows:
+            if member:
+                for c, order in class_orders(page_sequence(page)[0], member).items():
+                    sums[host, c, order] = sums.get((host, c, order), 0.0) + 1 / n_copies
+        keys = list(sums)
+        return pa.RecordBatch.from_pydict({"host": pa.array([k[0] for k in keys], pa.string()), "vector": pa.array([k[1] for k in keys], pa.int64()), "order": pa.array([k[2] for k in keys], pa.int64()), "weight": pa.array([sums[k] for k in keys], pa.float64())})
+
+    plain = named.select("html", "host", F.coalesce("copies", F.lit(1)).alias("copies"))
+    judged = with_hosts(plain, candidates, "classes", lambda classes: {x["token"]: (x["vector"], x["size"]) for x in classes}, lambda rows, batch: test((host, page, n, member) for (page, host, n), member in rows), "host string, vector long, order long, weight double")
+    orders = judged.groupBy("host", "vector", "order").agg(F.sum("weight").alias("weight"))
+    valid = orders.groupBy("host", "vector").agg(F.max(F.when(F.col("order") != 0, F.col("weight"))).alias("held"), F.sum("weight").alias("all")).where(F.col("held") >= least_valid * F.col("all") - 1e-9)
+    found = materialize(members.where("is_text").join(valid.select("host", "vector"), ["host", "vector"]).groupBy("host").agg(F.sort_array(F.collect_set("token")).alias("text_tokens")), "templates")
+    release(copied_table, tokens, members, candidates)
+    return found
+
+
+def with_hosts(rows: DataFrame, by_host: DataFrame, column: str, prepare, run, schema: str) -> DataFrame:
+    """``run(rows, batch)`` over batches of ``rows``, whose column ``host`` finds its entry of ``by_host``, made by ``prepare`` once a task.
+
+    Small tables are broadcast; others meet the rows in a join by host, which adaptive execution splits where a host is hot.
+    """
+    spark = rows.sparkSession
+    size = by_host.agg(F.coalesce(F.sum(F.size(column) * 24 + F.length("host") + 64), F.lit(0))).first()[0]
+    place = rows.columns.index("host")
+    if size <= BROADCAST_BYTES:
+        sent = spark.sparkContext.broadcast({r["host"]: r[column] for r in by_host.collect()})
+
+        def broadcast_run(batches):
+            made: dict = {}
+            for batch in batches:
+                columns = [c.to_pylist() for c in batch.columns]
+                out = []
+                for row in zip(*columns, strict=True):
+                    if row[place] not in made:
+                        made[row[place]] = prepare(sent.value.get(row[place]) or [])
+                    out.append((row, made[row[place]]))
+                yield run(out, batch)
+
+        return rows.mapInArrow(broadcast_run, schema)
+
+    def joined_run(batches):
+        for batch in batches:
+            made: dict = {}
+            out = []
+            for *row, entry in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[place] not in made:
+                    made[row[place]] = prepare(entry or [])
+                out.append((tuple(row), made[row[place]]))
+            yield run(out, batch)
+
+    return rows.join(by_host.select("host", column), "host", "left").select(*rows.columns, column).mapInArrow(joined_run, schema)
 
 
 def main_text(page: str | None, template_text: frozenset[int] = frozenset()) -> str:
@@ -220,36 +334,17 @@ BROADCAST_BYTES = 32 << 20
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars, for each row of ``pages(page_id, url, html)``."""
-    spark = pages.sparkSession
-    ship(spark)
+    ship(pages.sparkSession)
     plain = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     templates = deduce_templates(plain)
-    size = templates.agg(F.coalesce(F.sum(F.size("text_tokens") * 8 + F.length("host") + 64), F.lit(0))).first()[0]
-    schema = "page_id long, url string, text string, n_chars long"
 
-    def emit(batch, texts):
+    def emit(rows, batch):
         import pyarrow as pa
 
+        texts = [main_text(row[2], known) for row, known in rows]
         return pa.RecordBatch.from_pydict({"page_id": batch.column(0), "url": batch.column(1), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 
-    if size <= BROADCAST_BYTES:
-        known = {r["host"]: frozenset(r["text_tokens"]) for r in templates.collect()}
-        sent = spark.sparkContext.broadcast(known)
-
-        def run(batches):
-            for batch in batches:
-                urls, htmls = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-                yield emit(batch, [main_text(h, sent.value.get(host_of(u), frozenset())) for u, h in zip(urls, htmls, strict=True)])
-
-        return plain.mapInArrow(run, schema)
-
-    def joined(batches):
-        for batch in batches:
-            rows = zip(*(batch.column(i).to_pylist() for i in (2, 4)), strict=True)
-            yield emit(batch, [main_text(h, frozenset(t or ())) for h, t in rows])
-
-    named = plain.withColumn("host", _host())
-    return named.join(templates, "host", "left").select("page_id", "url", "html", "host", "text_tokens").mapInArrow(joined, schema)
+    return with_hosts(plain.withColumn("host", _host()), templates, "text_tokens", frozenset, emit, "page_id long, url string, text string, n_chars long")
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -328,6 +328,59 @@ def test_html_text_outside_the_largest_container_stays(spark):
     assert {x.page_id: x.text for x in html_extraction.extract(table).collect()} == wanted
 
 
+def test_classes_must_be_ordered_and_nest():
+    member = {t: (1, 3) for t in (1, 2, 3)} | {t: (2, 2) for t in (8, 9)}
+    orders = html_extraction.class_orders
+    assert orders([1, 8, 50, 9, 2, 3], member)[1] and orders([1, 8, 50, 9, 2, 3], member)[2]  # nested in a slot
+    assert orders([1, 8, 9, 8, 9, 2, 3], member)[2] == orders([8, 9, 1, 2, 3], member)[2] != 0  # repeats, and beside it
+    crossed = orders([1, 8, 2, 9, 3], member)
+    assert crossed[1] and crossed[2] == 0  # the smaller of two that cross fails
+    assert orders([1, 3, 2, 1, 2, 3], member)[1] == 0 and orders([1, 2, 3, 1], member)[1] == 0
+    assert orders([2, 1, 3], member)[1] not in (0, orders([1, 2, 3], member)[1])  # another order on another page
+    assert orders([], member) == {}
+
+
+def test_templates_against_brute_force(spark):
+    """Classes of whole occurrence vectors, gathered; a host whose menu is shuffled on every page has no such class."""
+    r = random.Random(31)
+    rows = []
+    for k in range(14):
+        menu = ["Home", "News", "Shop", "Help"]
+        r.shuffle(menu)
+        own = "".join(f"<p>{prose(r, 12)}</p>" for _ in range(r.randint(1, 4)))
+        some = "<div id=s><b>Seen</b><p>Also</p><i>Liked</i></div>" if k % 4 else ""
+        rows.append((k, "https://kept.org/a", f"<div id=m><p>Home</p><p>News</p></div><div id=c>{own}</div>{some}<div id=f>End</div>"))
+        rows.append((100 + k, "https://mixed.org/a", "".join(f"<div id=m>{x}</div>" for x in menu) + f"<div id=c>{own}</div>"))
+    rows += [(500, "https://mixed.org/b", ""), (501, None, None), (502, "https://long.org/a", "<p>" + "word " * 200000)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {x.host: set(x.text_tokens) for x in html_extraction.deduce_templates(table).collect()}
+    for host in ("kept.org", "mixed.org"):
+        pages = sorted({h or "" for _, u, h in rows if html_extraction.host_of(u) == host})
+        counts = [html_extraction.page_tokens(h) for h in pages]
+        texts = set().union(*(t for _, t in counts))
+        classes = {}
+        for t in set().union(*(c for c, _ in counts)):
+            classes.setdefault(tuple(c[t] for c, _ in counts), set()).add(t)
+        wanted = set()
+        picked = [x for x in ((sum(n > 0 for n in v), own) for v, own in classes.items()) if x[0] >= 3 and (x[0] == len(pages) or x[0] >= 0.5 * len(pages) and len(x[1]) >= 3) and x[1] & texts]
+        member = {t: (i, len(own)) for i, (_, own) in enumerate(picked) for t in own}
+        for i, (_, own) in enumerate(picked):
+            seen = [html_extraction.class_orders(html_extraction.page_sequence(h)[0], member).get(i) for h in pages]
+            seen = [x for x in seen if x is not None]
+            if max(sum(x == y for y in seen) for x in seen if x) >= 0.9 * len(seen) if any(seen) else False:
+                wanted |= own & texts
+        assert got.get(host, set()) == wanted
+    assert got.get("kept.org") and not got.get("mixed.org")
+    text = {x.page_id: x.text for x in html_extraction.extract(table).collect()}
+    assert all("Home" not in text[k] and "Liked" not in text[k] for k in range(14)) and all("Shop" in text[100 + k] for k in range(14))
+    assert len(text[502]) == 5 * 200000 - 1
+
+
+def test_html_names_inside_an_article(spark):
+    page = '<article><div class="article-header"><h1>Title</h1></div><p>Body</p><section class="related-work">Work</section><p class="social-history">Past</p><div class="related-posts">More</div><div class="site-footer top">X</div></article>'
+    assert html_extraction.main_text(page) == "Title\nBody\nWork\nPast"
+
+
 # ---- 7
 
 def test_vector_search_against_brute_force(spark):
