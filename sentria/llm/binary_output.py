@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sentria.llm.tokens import END_ID, encoder, text_groups, vocabulary
-from sentria.runtime import materialize, new_path, ship
+from sentria.runtime import materialize, new_path, ship, spread
 
 MAGIC = b"EFIDS001"
 _HEAD = struct.Struct("<8sIIqqqqq")  # magic, crc32 of the rest, id width, documents, null ids, tokens, bytes of the ids' and ends' sections
@@ -217,4 +217,4 @@ def token_id_output(docs: DataFrame, tokenizer_path: str | None = None, folder:
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sentria.runtime import read_table
 
-    return token_id_output(read_table(spark, sf_dir, "documents"))
+    return token_id_output(spread(read_table(spark, sf_dir, "documents")))

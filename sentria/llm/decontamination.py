@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from sentria.llm.hashing import ALNUM, Words, winnow
 from sentria.llm.tokens import text_groups
-from sentria.runtime import materialize, read_table, release, ship
+from sentria.runtime import materialize, read_table, release, ship, spread
 
 SPAN, GRAM = 10, 5
 #: Benchmark tables of up to so many bytes of text go to the executors whole; larger ones are joined by fingerprint.
@@ -242,7 +242,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: in
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return find_contamination(spread(read_table(spark, sf_dir, "documents")), read_table(spark, sf_dir, "benchmark"))
 
 
 _SPLIT = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

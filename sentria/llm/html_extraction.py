@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentria.llm.tokens import text_groups
-from sentria.runtime import materialize, read_table, release, ship
+from sentria.runtime import materialize, read_table, release, ship, spread
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|title|object|select)\b[^>]*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s>/]*+)((?:\"[^\"]*+\"|'[^']*+'|[^>\"'])*+)>|<(/?)([a-zA-Z][^\s>/]*+)([^>]*+)>|<[!?][^>]*+>",
@@ -348,4 +348,4 @@ def extract(pages: DataFrame) -> DataFrame:
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract(read_table(spark, sf_dir, "pages"))
+    return extract(spread(read_table(spark, sf_dir, "pages")))

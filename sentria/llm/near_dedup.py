@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from sentria.llm.components import components
 from sentria.llm.hashing import SPACED, Words, mix
 from sentria.llm.tokens import forget, text_groups
-from sentria.runtime import materialize, read_table, release, ship
+from sentria.runtime import materialize, read_table, release, ship, spread
 
 BANDS, ROWS = 40, 5
 #: Buckets of up to so many classes are searched directly.
@@ -255,7 +255,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read_table(spark, sf_dir, "documents"))
+    return near_duplicates(spread(read_table(spark, sf_dir, "documents")))
 
 
 SQL = r"""

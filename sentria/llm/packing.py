@@ -2,7 +2,9 @@
 
 A document's ids are cut into whole sequences and one rest. The rests' length histogram (at most capacity - 1 rows) is the
 demand of a cutting-stock problem: a linear program over patterns of lengths that fit one sequence, solved by column
-generation, where an unbounded-knapsack dynamic program prices columns from the dual values. Solutions are rounded down,
+generation over the whole histogram, from pairs of lengths that fill a sequence; an unbounded-knapsack dynamic program prices columns from the
+dual values. It stops within ``gap`` of the optimum, by the dual values or by the total length, or after ``most_steps`` columns: later
+ones would change padding only, never which ids are packed. Solutions are rounded down,
 what is left is packed best-fit, and patterns go to documents by rank: the j-th rest of a length takes the j-th slot
 of that length. Ranks come from counts by input partition, so no length is gathered, however common it is. Rests that
 only patterns with more than ``most_padding`` empty places would take are laid end to end instead and cut at sequence
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sentria.llm.tokens import END_ID, encoder, text_groups, vocabulary
-from sentria.runtime import materialize, read_table, ship
+from sentria.runtime import materialize, read_table, ship, spread
 
 CAPACITY = 1024
 PIECE = "bucket int, k long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
@@ -61,11 +63,21 @@ def solve(demand: dict[int, int], capacity: int = CAPACITY, most_steps: int = 12
         return []
     place = {int(x): i for i, x in enumerate(lengths)}
     need = np.array([demand[int(x)] for x in lengths], dtype=float)
+    bound = float((lengths * need).sum()) / capacity  # no solution uses fewer sequences
+    # the first basis: each length alone, but for two that fill a sequence together their pair and the surplus of one
     columns: list[Pattern] = [{int(x): int(capacity // x)} for x in lengths]
     inverse = np.diag([1.0 / (capacity // x) for x in lengths])
+    for i, short in enumerate(lengths):
+        j = place.get(int(capacity - short))
+        if j is not None and i < j:
+            less, more = (i, j) if need[i] <= need[j] else (j, i)
+            columns[less] = {int(short): 1, int(capacity - short): 1}
+            inverse[less, less], inverse[more, less] = 1.0, -inverse[more, more]
     x = inverse @ need
     duals = inverse.sum(axis=0)
     for _ in range(most_steps):
+        if x.sum() <= (1 + gap) * bound:
+            break
         value, pattern = best_pattern(duals, lengths, capacity)
         if value <= 1 + gap:  # the program's value is at least the present one divided by this
             break
@@ -105,10 +117,6 @@ def plan(demand: dict[int, int], capacity: int = CAPACITY, most_padding: int = 8
             for k, n in pattern.items():
                 left[k] -= times * n
 
-    # complementary lengths fill a sequence without padding, so these columns are optimal; the program is for the rest
-    for x in sorted(left):
-        if 2 * x <= capacity and left[capacity - x]:
-            take({x: 1, capacity - x: 1} if 2 * x < capacity else {x: 2}, left[x])
     solved = solve({k: v for k, v in left.items() if v > 0}, capacity)
     for pattern, times in sorted(solved, key=lambda s: -sum(k * n for k, n in s[0].items())):
         take(pattern, int(times + 1e-7))
@@ -237,4 +245,4 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAP
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(read_table(spark, sf_dir, "documents"))
+    return pack(spread(read_table(spark, sf_dir, "documents")))

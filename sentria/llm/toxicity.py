@@ -3,8 +3,9 @@
 Lexicon: words, and beginnings of words, whose share of toxic documents among labelled training rows is far above the
 usual one. The lexicon stands in a trie; a word is run through the automaton that accepts everything within one edit
 of a trie path, determinised step by step, so most words die after a few letters. Each hit is weighed by the
-words around it: quotation marks and words of reporting lower it, address and other hits raise it. A logistic model over
-the sums by kind of hit gives the score.
+words around it: other hits near by raise it, and hits inside quotation marks or beside words of reporting in a quotation are summed on
+their own. A logistic model over these sums gives the score. As labelled texts hold few quotations, the model also learns from GENERATED
+clean sample texts to which a quotation of lexicon words was added: so it weighs quoted terms by what they say about a text.
 
 Only rows with crc32(doc_id as text) mod 3 <> 1 are learned from, and of those at most SAMPLE labelled rows (half of them
 toxic while there are enough; the weights are corrected for that). Everything else reads all rows.
@@ -24,19 +25,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentria.llm.tokens import forget, text_groups
-from sentria.runtime import materialize, read_table, release, ship
+from sentria.runtime import materialize, read_table, release, ship, spread
 
 SAMPLE = 8000
 THRESHOLD = 0.7
 PREFIXES = (4, 5, 6, 7)
 WINDOW = 8
 MOST_TERMS = 2000
+GENERATED = 400
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _QUOTES = "\"“”„«»‹›‘’'`"
 _REPORT = frozenset("said says say called calls call wrote writes quote quoted quotes quoting word words term terms reported stated dijo llamó palabra sagte nannte wort zitat dit disait mot appelé".split())
 _ADDRESS = frozenset("you your you're u ur youre du dich dir euch tu te toi vous usted tú".split())
 _PLAIN = str.maketrans({"@": "a", "$": "s", "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "!": "i", "€": "e"})
-FEATURES = ("bias", "word", "word_share", "start", "start_share", "quoted", "address", "any")
+FEATURES = ("bias", "word", "word_share", "start", "start_share", "quoted", "reported", "address", "any")
 #: A misspelled term counts as so much of a term; terms whose misspellings are ordinary words of clean documents have none.
 NEAR = 0.8
 
@@ -168,25 +170,26 @@ class Matcher:
         tokens = (text or "").split()
         hits = self.hits(tokens)
         total = dict.fromkeys(("word", "start"), 0.0)
-        quoted = address = 0.0
+        quoted = told = address = direct = 0.0
         places = [i for i, _, _ in hits]
         for k, (i, kind, weight) in enumerate(hits):
             window = tokens[max(0, i - WINDOW) : i + WINDOW + 1]
             context = {bare(t) for t in window}
             raw = tokens[i]
-            is_quoted = raw[0] in _QUOTES and raw[-1].strip(".,;:!?")[-1:] in tuple(_QUOTES) or self._inside_quotes(tokens, i)
-            reported = bool(context & _REPORT)
-            spoken_to = bool(context & _ADDRESS)
             near_hits = (k > 0 and i - places[k - 1] <= WINDOW) + (k + 1 < len(places) and places[k + 1] - i <= WINDOW)
-            factor = (0.35 if is_quoted else 1.0) * (0.6 if reported and is_quoted else 1.0) * (1.0 + 0.25 * near_hits)
-            total["start" if kind == "start" else "word"] += weight * factor
-            quoted += is_quoted
-            address += spoken_to and not is_quoted
+            weight *= 1.0 + 0.25 * near_hits
+            if raw[0] in _QUOTES and raw[-1].strip(".,;:!?")[-1:] in tuple(_QUOTES) or self._inside_quotes(tokens, i):
+                quoted += weight
+                told += weight * bool(context & _REPORT)
+            else:
+                total["start" if kind == "start" else "word"] += weight
+                address += bool(context & _ADDRESS)
+                direct += 1
         n = max(len(tokens), 1)
         out = [1.0]
         for kind in ("word", "start"):
             out += [math.log1p(total[kind]), min(1.0, 20 * total[kind] / n)]
-        return [*out, math.log1p(quoted), math.log1p(address), float(bool(hits))]
+        return [*out, math.log1p(quoted), math.log1p(told), math.log1p(address), float(direct > 0)]
 
     @staticmethod
     def _inside_quotes(tokens: list[str], i: int) -> bool:
@@ -309,14 +312,28 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_pydict({"toxic": batch.column(0), "x": pa.array(rows, pa.list_(pa.float64()))})
 
     got = sample.select("toxic", "text").mapInArrow(run, "toxic int, x array<double>").collect()
+    clean = [r["text"] for r in sample.where("toxic = 0").orderBy("row").limit(GENERATED).select(F.substring("text", 1, 2000).alias("text")).collect()]
     release(sample)
-    x = np.array([r["x"] for r in got])
-    y = np.array([r["toxic"] for r in got], dtype=float)
+    quotes = [lexicon.matcher().features(t) for t in quotations(clean, sorted(lexicon.words) or sorted(lexicon.starts))]
+    x = np.array([r["x"] for r in got] + quotes)
+    y = np.array([float(r["toxic"]) for r in got] + [0.0] * len(quotes))
     share = sizes[1] / (sizes[0] + sizes[1])
-    weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
+    real = y[: len(got)]
+    weight = np.concatenate([np.where(real == 1, share / real.mean(), (1 - share) / (1 - real.mean())), np.full(len(quotes), 1.0)])
     return Model(lexicon, _logistic(x, y, weight).tolist())
 
 
+def quotations(texts: list[str], terms: list[str]) -> list[str]:
+    """The texts with a quotation of terms in each: reported, or between quotation marks alone."""
+    frames = ("%s They said “%s” in a letter.", "%s The word \"%s\" was used.", "%s «%s» was heard.", "“%s” is a quoted term. %s")
+    out = []
+    for k, text in enumerate(texts if terms else []):
+        said = " ".join(terms[(3 * k + 7 * i) % len(terms)] for i in range(1 + k % 3))
+        frame = frames[k % len(frames)]
+        out.append(frame % ((said, text) if frame[0] == "“" else (text, said)))
+    return out
+
+
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score and predicted, for each row of ``docs(doc_id, text)``."""
     ship(docs.sparkSession)
@@ -355,5 +372,5 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs = spread(read_table(spark, sf_dir, "documents"))
     return score_toxicity(docs, train(docs, read_table(spark, sf_dir, "labels")))

@@ -36,7 +36,7 @@ BLOCK_ROWS = 1024
 #: Rows a cell should have, and the most pivots of one vector length: the routing table that every task holds.
 CELL_ROWS, MOST_PIVOTS = 2048, 1024
 #: Vectors that pivots and the factor are chosen from, and how many of them are asked.
-SAMPLE, ASKED = 8192, 256
+SAMPLE, ASKED = 2048, 128
 FACTORS = (0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6)
 Found = tuple[np.ndarray, np.ndarray]
 

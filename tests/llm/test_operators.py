@@ -105,6 +105,15 @@ def test_toxicity(spark):
     odd = docs(spark, [(1, None), (2, ""), (None, "you are pathetic, worthless and idiotic"), (4, "w0rthless pathetc worthles idiotic idiotic " + prose(r, 5)), (5, "x" * 100_000)])
     scores = {x.doc_id: x.predicted for x in toxicity.score_toxicity(odd, model).collect()}
     assert scores == {1: 0, 2: 0, None: 1, 4: 1, 5: 0}
+    # quoted or reported terms are no abuse; the same words said are
+    said = [f"{prose(r, 30)} {t} {prose(r, 4)} {u} {prose(r, 6)} {t}" for t, u in (("idiotic", "worthless"), ("pathetic", "idiotic"))]
+    told = [f"{prose(r, 30)} She wrote “{t} {u}” once. {prose(r, 6)}" for t, u in (("idiotic", "worthless"), ("pathetic", "idiotic"))]
+    told += [f'{prose(r, 20)} the word "{t}" is meant {prose(r, 9)}' for t in ("idiotic", "worthless", "pathetic")]
+    quoting = docs(spark, [*enumerate(said), *enumerate(told, 100)])
+    assert {x.doc_id: x.predicted for x in toxicity.score_toxicity(quoting, model).collect()} == {0: 1, 1: 1} | dict.fromkeys(range(100, 105), 0)
+    # repeated rows and ties score alike; an empty table has no row
+    again = toxicity.score_toxicity(docs(spark, [rows[0], rows[0], (9999, rows[0][1])]), model).collect()
+    assert len(again) == 3 and len({x.score for x in again}) == 1 and toxicity.score_toxicity(table.limit(0), model).count() == 0
     assert toxicity.drop_toxic(table, known).columns == table.columns
     assert toxicity.train(table, known.where("toxic = 0")).score([0.0]) == 0.0
 
@@ -591,6 +600,69 @@ def test_pii_beside_a_base_span():
 
 # ---- names that clash
 
+def test_marginals_against_all_segmentations():
+    r = random.Random(6)
+    for _ in range(30):
+        n = r.randint(1, 6)
+        segments = sorted({(i, j) for _ in range(8) for i in [r.randrange(n)] for j in [r.randint(i + 1, n)]}, key=lambda x: (x[1], x[0]))
+        scores = [r.uniform(-2, 2) for _ in segments]
+        weights = {}
+
+        def walk(at, chosen, total):
+            if at == n:
+                weights[tuple(chosen)] = np.exp(total)
+                return
+            walk(at + 1, chosen, total)  # background
+            for x, (i, j) in enumerate(segments):
+                if i == at:
+                    walk(j, [*chosen, x], total + scores[x])
+
+        walk(0, [], 0.0)
+        log_sum, found = pii.marginals(n, segments, scores)
+        whole = sum(weights.values())
+        assert abs(log_sum - np.log(whole)) < 1e-9
+        assert all(abs(p - sum(v for c, v in weights.items() if x in c) / whole) < 1e-9 for x, p in enumerate(found))
+
+
+def test_pii_on_generated_lines_held_out():
+    r = random.Random(99)
+    w = pii.learned_weights()
+    right = wrong = missed = 0
+    for _ in range(400):
+        text, spans = pii._example(r)
+        base = pii.base_spans(text)
+        if not base:  # others are the base patterns' own
+            got = set(pii.find_spans(text, w)[1])
+            right, wrong, missed = right + len(got & set(spans)), wrong + len(got - set(spans)), missed + len(set(spans) - got)
+    assert right >= 0.95 * (right + wrong) and right >= 0.95 * (right + missed)
+
+
+def test_clashing_columns_of_every_operator(spark, corpus):
+    r = random.Random(12)
+    texts = [x for x in corpus if x[0] != 55][:40]
+    clash = ", node string, key string, print string, token string, host string, score string, held_out string, k1 string, bucket string, cell string, dim string"
+    values = ["x"] * 11
+    plain = docs(spark, texts)
+    table = spark.createDataFrame([(i, t, "en", "s", len(t or ""), *values) for i, t in texts], SCHEMA + clash)
+    bench = spark.createDataFrame([(1, texts[3][1], "x")], "item_id long, text string, key string")
+    labels = spark.createDataFrame([(i, 1, i % 2, "x") for i, _ in texts if i is not None], "doc_id long, quality int, toxic int, row string")
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(decontamination.find_contamination(table, bench)) == rows(decontamination.find_contamination(plain, bench.drop("key")))
+    model = toxicity.train(table, labels)
+    assert rows(toxicity.score_toxicity(table, model)) == rows(toxicity.score_toxicity(plain, model))
+    assert sorted((str(x.doc_id), x.start, x.length) for x in packing.pack(table).collect() if x.length == 1024) == sorted((str(x.doc_id), x.start, x.length) for x in packing.pack(plain).collect() if x.length == 1024)
+    assert rows(binary_output.token_id_output(table)) == rows(binary_output.token_id_output(plain))
+    pages = [(k, f"http://a.org/{k}", f"<p>{prose(r, 5)}</p>", *values) for k in range(5)]
+    web = spark.createDataFrame(pages, "page_id long, url string, html string" + clash)
+    assert rows(html_extraction.extract(web)) == rows(html_extraction.extract(web.select("page_id", "url", "html")))
+    vectors = spark.createDataFrame([(k, [float(k), 1.0], *values) for k in range(200)], "vec_id long, embedding array<float>" + clash)
+    found = [rows(vector_search.search(vector_search.build_index(v), v.where("vec_id % 100 = 0"))) for v in (vectors, vectors.select("vec_id", "embedding"))]
+    assert found[0] == found[1] and len(found[0]) == 20
+    mixed = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.5]), (3, [1.0, 2.0, 3.0]), (100, [1.0, 2.0]), (200, [9.0])], "vec_id long, embedding array<float>")
+    got = vector_search.search(vector_search.build_index(mixed), mixed.where("vec_id % 100 = 0")).collect()
+    assert sorted((x.query_id, x.rank, x.vec_id, x.score) for x in got) == [(100, 1, 1, 0.0), (100, 2, 2, 0.5)]
+
+
 def test_extra_columns_do_not_matter(spark, corpus):
     table = docs(spark, corpus[:10], SCHEMA)
     for name in ("key", "node", "n", "rep", "label", "band", "component", "score", "bucket", "length", "text_key", "print"):
