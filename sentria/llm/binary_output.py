@@ -139,7 +139,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, shard_tokens
     """Encode ``docs(doc_id, text)`` and write shard files in ascending doc_id order below ``folder``.
 
     Returns the manifest (part, shard, path, n_docs, n_tokens). One range shuffle of the texts; a task holds one shard.
-    A retried task writes the same file again: contents follow from the rows alone, and files appear by renaming.
+    A file is named after the attempt that wrote it, and only files of attempts that Spark commits are in the manifest: a retried, speculative or
+    lost task leaves at most files that nobody reads.
     """
     ship(docs.sparkSession)
 
@@ -156,11 +157,10 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, shard_tokens
 
         def flush():
             nonlocal shard, ids, raw, size
-            name = f"{root}/ids-{part:06d}-{shard:05d}.ef"
-            with store.open_output_stream(f"{name}.{context.taskAttemptId()}") as out:
+            name = f"ids-{part:06d}-{shard:05d}-{context.taskAttemptId()}.ef"
+            with store.open_output_stream(f"{root}/{name}") as out:
                 out.write(build_shard(ids, raw))
-            store.move(f"{name}.{context.taskAttemptId()}", name)
-            row = pa.RecordBatch.from_pydict({"part": [part], "shard": [shard], "path": [f"ids-{part:06d}-{shard:05d}.ef"], "n_docs": [len(ids)], "n_tokens": [size]}, schema=pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
+            row = pa.RecordBatch.from_pydict({"part": [part], "shard": [shard], "path": [name], "n_docs": [len(ids)], "n_tokens": [size]}, schema=pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
             shard, ids, raw, size = shard + 1, [], [], 0
             return row
 

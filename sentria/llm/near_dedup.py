@@ -177,7 +177,9 @@ def _grouped(docs: DataFrame, shingle: int, percent: int, bands: int = BANDS, ro
     classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     entries = classes.select("rep", "n", F.posexplode("bands").alias("band", "key"))
     shared = entries.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most"), F.count("*").alias("size")).where("least < most")
-    members = materialize(entries.join(materialize(shared.select("key", "size"), "buckets"), "key"), "members")
+    buckets = materialize(shared.select("key", "size"), "buckets")
+    members = materialize(entries.join(buckets, "key"), "members")
+    release(buckets)
     wanted = members.select("rep").distinct().join(classes.select("rep", "first", "k1", "k2"), "rep")
     sets = materialize(_sets(docs, wanted, shingle), "sets")
     found_links: list[DataFrame] = []
@@ -196,6 +198,7 @@ def _grouped(docs: DataFrame, shingle: int, percent: int, bands: int = BANDS, ro
             links = links.union(x)
         new = components(links)
         named = members.join(new.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        spent.append(state)
         return new, materialize(named, "state")
 
     for step in range(centre_rounds):
@@ -225,12 +228,13 @@ def _grouped(docs: DataFrame, shingle: int, percent: int, bands: int = BANDS, ro
     found = materialize(_confirmed(pairs, sets, percent), "confirmed")
     if labels is None or not found.isEmpty():
         labels, state = relabelled(found)
-    release(sets, rest, wide, pairs, *spent)
     # the components' heads; a centre is in its component too
     labels = labels.union(labels.select(F.col("component").alias("node"), "component").distinct()).withColumnRenamed("node", "rep")
     heads = labels.join(classes.select("rep", "first"), "rep").groupBy("component").agg(F.min("first").alias("head"))
     named = classes.select("k1", "k2", "n", "rep", "first").join(labels.join(heads, "component").select("rep", "head"), "rep", "left")
-    return described, materialize(named.select("k1", "k2", "n", "first", F.coalesce("head", "first").alias("head")), "named")
+    named = materialize(named.select("k1", "k2", "n", "first", F.coalesce("head", "first").alias("head")), "named")
+    release(sets, rest, wide, pairs, state, members, classes, *spent, *found_links)
+    return described, named
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, small: int = SMALL) -> DataFrame:

@@ -3,12 +3,14 @@
 A byte-level BPE splits text into pre-tokens first, and no pre-token holds a non-space character
 followed by white space. Every blank that does not stand between two other white-space characters
 therefore starts a new pre-token, so a text may be cut before such blanks, the distinct cuts encoded
-once by the tokenizers library, and the results joined. Texts with odd white space go to the library whole.
+once by the tokenizers library, and the results joined. Texts with odd white space go to the library whole, as do all texts of
+a vocabulary of another kind: one with a normaliser, or with pre-tokens other than the byte-level ones.
 """
 
 from __future__ import annotations
 
 import gc
+import json
 import os
 import re
 
@@ -38,6 +40,9 @@ class PieceEncoder:
         self.cache: dict[str, bytes] = {"": b""}
         self.parts: dict[str, bytes] = {}
         self.cache_limit, self.part_limit = cache_limit, part_limit
+        kind = json.loads(self.tokenizer.to_str())
+        before = kind.get("pre_tokenizer") or {}
+        self.divisible = kind.get("normalizer") is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and kind["model"]["type"] == "BPE"
         newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.newline = newline[0] if len(newline) == 1 else None
 
@@ -99,6 +104,8 @@ class PieceEncoder:
                 gc.enable()
 
     def _encode_many(self, texts: list[str]) -> list[bytes]:
+        if not self.divisible:
+            return [self._direct(t) for t in texts]
         cache = self.cache
         cut = [None if "\0" in t or _ODD.search(t) else t.replace(" ", "\0 ").split("\0") for t in texts]
         need: set[str] = set()

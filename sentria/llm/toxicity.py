@@ -31,7 +31,8 @@ SAMPLE = 8000
 THRESHOLD = 0.7
 PREFIXES = (4, 5, 6, 7)
 WINDOW = 8
-MOST_TERMS = 2000
+#: Toxic documents of the sample that a term must be in, and its least likelihood ratio (twice the logarithm): of ten thousand words one gets there by chance.
+LEAST_DOCUMENTS, LEAST_RATIO = 4, 15.0
 GENERATED = 400
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _QUOTES = "\"“”„«»‹›‘’'`"
@@ -218,10 +219,11 @@ def _lexicon(sample: DataFrame, n1: int, n0: int) -> Lexicon:
     parts = words.select("toxic", "row", F.explode(F.array(F.struct(F.col("word").alias("term"), F.lit(False).alias("start")), *[F.struct(F.substring("word", 1, n).alias("term"), F.lit(True).alias("start")) for n in PREFIXES])).alias("t"), F.length("word").alias("len")).select("toxic", "row", "t.*", "len")
     parts = parts.where("not start or length(term) < len").select("toxic", "row", "term", "start").distinct()
     counted = parts.groupBy("term", "start").agg(F.sum("toxic").alias("c1"), F.sum(1 - F.col("toxic")).alias("c0"))
-    least = max(4, n1 // 150)
     odds = F.log(((F.col("c1") + 0.3) / n1) / ((F.col("c0") + 0.3) / max(n0, 1)))
-    # a term stands for toxicity if nearly only toxic documents have it
-    found = counted.where(f"c1 >= {least}").withColumn("odds", odds).where("odds >= 3.0").orderBy(F.desc("odds"), "term", "start").limit(MOST_TERMS).collect()
+    share = (F.col("c1") + F.col("c0")) / (n1 + n0)
+    ratio = 2 * (F.col("c1") * F.log(F.col("c1") / n1 / share) + F.when(F.col("c0") > 0, F.col("c0") * F.log(F.col("c0") / max(n0, 1) / share)).otherwise(0.0))
+    # a term stands for toxicity if nearly only toxic documents have it, and chance does not explain that
+    found = counted.where(f"c1 >= {LEAST_DOCUMENTS}").withColumn("odds", odds).where(F.col("odds") >= 3.0).where(ratio >= LEAST_RATIO).orderBy(F.desc("odds"), "term", "start").collect()
     words_, starts = {}, {}
     counts = {r["term"]: r["c1"] for r in found if not r["start"]}
     for r in found:
