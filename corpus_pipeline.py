@@ -1,6 +1,11 @@
 """Corpus pipeline: toxicity, near duplicates, benchmark passages and personal data, then packing.
 
 Every stage works on all rows that its predecessor kept; all but the last return the columns of ``documents``.
+
+Defined results: null and empty texts are clean, have no duplicate and no passage, and reach packing as one end id each. Rows
+with a null doc_id are judged by their text and never dropped as duplicates. Of rows that repeat a doc_id and text, one stays;
+of rows that repeat a doc_id with other texts, each is judged on its own. An empty table gives no row. Further columns travel
+along, whatever their names, up to packing. Labels and benchmark may be empty: then nothing is rejected for them.
 """
 
 from __future__ import annotations
