@@ -3,14 +3,13 @@
 A byte-level BPE splits text into pre-tokens first, and no pre-token holds a non-space character
 followed by white space. Every blank that does not stand between two other white-space characters
 therefore starts a new pre-token, so a text may be cut before such blanks, the distinct cuts encoded
-once by the tokenizers library, and the results joined. Texts with odd white space go to the library whole, as do all texts of
+once by the tokenizers library, and the results joined. Texts of plain words, numbers and signs fall into pre-tokens at once. Texts with odd white space go to the library whole, as do all texts of
 a vocabulary of another kind: one with a normaliser, or with pre-tokens other than the byte-level ones.
 """
 
 from __future__ import annotations
 
 import gc
-import json
 import os
 import re
 
@@ -21,6 +20,9 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 END_ID = 0
 _ODD = re.compile(r"[\s\x1c-\x1f] [\s\x1c-\x1f]")
 _PLAIN = re.compile(r" ?[^\s\x1c-\x1f]+")
+#: Pre-tokens of plain text: letters, digits or signs with a blank in front or without, and line feeds that stand alone before something.
+#: An apostrophe may begin a contraction, so texts with one take the longer way.
+_TOKEN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[!-&(-/:-@\[-`{-~]+| ?[0-9]+|\n(?=\S)")
 #: Pieces of letters, common signs and single line feeds; each part is a pre-token of its own.
 _PART = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+|[.,;:!?*#$%&|()\-]+|\n")
 _PARTS = re.compile(r"(?: ?[A-Za-zÀ-ÖØ-öø-ÿ]+|[.,;:!?*#$%&|()\-]+|\n(?=[A-Za-zÀ-ÖØ-öø-ÿ]))+")
@@ -30,8 +32,10 @@ _encoders: dict[str, PieceEncoder] = {}
 class PieceEncoder:
     """``encode_many(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, cache_limit: int = 400_000, part_limit: int = 600_000) -> None:
+    def __init__(self, path: str, cache_limit: int = 200_000, part_limit: int = 600_000) -> None:
         from tokenizers import Tokenizer
+        from tokenizers.models import BPE
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
@@ -40,9 +44,8 @@ class PieceEncoder:
         self.cache: dict[str, bytes] = {"": b""}
         self.parts: dict[str, bytes] = {}
         self.cache_limit, self.part_limit = cache_limit, part_limit
-        kind = json.loads(self.tokenizer.to_str())
-        before = kind.get("pre_tokenizer") or {}
-        self.divisible = kind.get("normalizer") is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and kind["model"]["type"] == "BPE"
+        before = self.tokenizer.pre_tokenizer
+        self.divisible = isinstance(self.tokenizer.model, BPE) and self.tokenizer.normalizer is None and isinstance(before, ByteLevel) and not before.add_prefix_space and before.use_regex
         newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.newline = newline[0] if len(newline) == 1 else None
 
@@ -106,6 +109,27 @@ class PieceEncoder:
     def _encode_many(self, texts: list[str]) -> list[bytes]:
         if not self.divisible:
             return [self._direct(t) for t in texts]
+        parts = [_TOKEN.findall(t) for t in texts]
+        parts = [p if len("".join(p)) == len(t) else None for p, t in zip(parts, texts, strict=True)]
+        known, need = self.parts, set()
+        for p in parts:
+            if p is not None:
+                need.update(p)
+        missing = need.difference(known)
+        if "\n" in missing:
+            missing.remove("\n")
+            known["\n"] = self._direct("\n")
+        self._encode(list(missing), known)
+        out = [None if p is None else b"".join(map(known.__getitem__, p)) for p in parts]
+        del parts
+        if len(known) > self.part_limit:  # what these texts use stays: it holds the common pieces
+            self.parts = {x: known[x] for x in need}
+        others = [i for i, x in enumerate(out) if x is None]
+        for i, got in zip(others, self._by_pieces([texts[i] for i in others]), strict=True):
+            out[i] = got
+        return out
+
+    def _by_pieces(self, texts: list[str]) -> list[bytes]:
         cache = self.cache
         cut = [None if "\0" in t or _ODD.search(t) else t.replace(" ", "\0 ").split("\0") for t in texts]
         need: set[str] = set()
@@ -116,7 +140,7 @@ class PieceEncoder:
         if missing:
             self._learn(missing)
         out = [self._direct(t) if pieces is None else b"".join(map(cache.__getitem__, pieces)) for t, pieces in zip(texts, cut, strict=True)]
-        if len(cache) > self.cache_limit:  # what these texts use stays: it holds the common pieces
+        if len(cache) > self.cache_limit:
             self.cache = {p: cache[p] for p in need} | {"": b""}
         return out
 
