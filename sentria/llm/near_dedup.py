@@ -31,6 +31,8 @@ from sentria.runtime import materialize, read_table, release, ship, spread
 BANDS, ROWS = 40, 5
 #: Buckets of up to so many classes are searched directly.
 SMALL = 30
+#: Items that an entry of the prefix search carries along, so that a pair of sets meets at few of its common items.
+BEFORE = 24
 _U = np.uint64
 #: With its doc_id, tells a text from others of the same doc_id.
 _PRINT = "xxhash64(text)"
@@ -156,12 +158,15 @@ def _by_prefix(wide: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     common = materialize(common, "item-counts")
     ordered = items.join(common, "item").groupBy("rep", "n", "component").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("x"))
     prefix = F.slice("x", 1, (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
-    entries = ordered.select("rep", "n", "component", F.posexplode(prefix).alias("place", "y")).select("rep", "n", "component", "place", "y.item", "y.df").where("df > 1").drop("df")
-    entries = materialize(entries, "prefixes")
-    a = entries.select("item", F.col("rep").alias("u"), F.col("n").alias("nu"), F.col("component").alias("cu"), F.col("place").alias("pu"))
-    b = entries.select("item", F.col("rep").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"), F.col("place").alias("pv"))
+    shared = F.filter(F.transform(prefix, lambda y, i: F.struct(i.alias("place"), y["item"].alias("item"), y["df"].alias("df"))), lambda y: y["df"] > 1)
+    placed = ordered.select("rep", "n", "component", shared.alias("all")).select("rep", "n", "component", "all", F.posexplode("all").alias("k", "y"))
+    # the shared items right before: a pair that has one of them in common has met there
+    before = F.transform(F.slice("all", F.greatest(F.col("k") - BEFORE, F.lit(0)) + 1, F.least(F.col("k"), F.lit(BEFORE))), lambda y: y["item"])
+    entries = materialize(placed.select("rep", "n", "component", "y.place", "y.item", before.alias("before")), "prefixes")
+    a = entries.select("item", F.col("rep").alias("u"), F.col("n").alias("nu"), F.col("component").alias("cu"), F.col("place").alias("pu"), F.col("before").alias("bu"))
+    b = entries.select("item", F.col("rep").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"), F.col("place").alias("pv"), F.col("before").alias("bv"))
     enough = (100 + percent) * F.least(F.col("nu") - F.col("pu"), F.col("nv") - F.col("pv")) >= percent * (F.col("nu") + F.col("nv"))
-    return a.join(b, (a["item"] == b["item"]) & (F.col("cu") < F.col("cv")) & enough).select("u", "v")
+    return a.join(b, (a["item"] == b["item"]) & (F.col("cu") < F.col("cv")) & enough & ~F.arrays_overlap("bu", "bv")).select("u", "v")
 
 
 def _grouped(docs: DataFrame, shingle: int, percent: int, bands: int = BANDS, rows: int = ROWS, centre_rounds: int = 3, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
