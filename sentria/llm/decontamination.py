@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentria.llm.hashing import ALNUM, Words, winnow
-from sentria.llm.tokens import text_groups
+from sentria.llm.tokens import column_groups, forget, text_groups
 from sentria.runtime import materialize, read_table, release, ship, spread
 
 SPAN, GRAM = 10, 5
@@ -230,12 +230,12 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: in
     def keep(batches):
         import pyarrow as pa
 
+        forget()
         index = ItemIndex(sent.value)
         for batch in batches:
-            texts = batch.column(place).to_pylist()
             flags = []
-            for a, b in text_groups(texts, 1_000_000):
-                flags += [not seen for _, _, seen in index.scan(texts[a:b])]
+            for a, b in column_groups(batch.column(place), 1_000_000):
+                flags += [not seen for _, _, seen in index.scan(batch.column(place).slice(a, b - a).to_pylist())]
             yield batch.filter(pa.array(flags, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

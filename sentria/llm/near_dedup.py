@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from sentria.llm.components import components
 from sentria.llm.hashing import SPACED, Words, mix
-from sentria.llm.tokens import forget, text_groups
+from sentria.llm.tokens import column_groups, forget
 from sentria.runtime import materialize, read_table, release, ship, spread
 
 BANDS, ROWS = 40, 5
@@ -95,9 +95,9 @@ def _described(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
 
         forget()
         for batch in batches:
-            keys, texts, prints = (batch.column(i).to_pylist() for i in range(3))
-            for a, b in text_groups(texts, 1_500_000):
-                sets = shingle_sets(texts[a:b], shingle)
+            keys, prints = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            for a, b in column_groups(batch.column(1), 750_000):
+                sets = shingle_sets(batch.column(1).slice(a, b - a).to_pylist(), shingle)
                 found = band_keys(sketches(sets, bands * rows), bands, rows)
                 with np.errstate(over="ignore"):
                     k1 = np.array([mix(s).sum(dtype=np.uint64) for s in sets], dtype=np.uint64).view(np.int64)
@@ -114,10 +114,12 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        forget()
         for batch in batches:
-            rows = batch.to_pydict()
-            for a, b in text_groups(rows["text"], 1_500_000):
-                sets = shingle_sets(rows["text"][a:b], shingle)
+            rows = batch.select(["rep", "k1", "k2"]).to_pydict()
+            text = batch.column(batch.schema.get_field_index("text"))
+            for a, b in column_groups(text, 750_000):
+                sets = shingle_sets(text.slice(a, b - a).to_pylist(), shingle)
                 with np.errstate(over="ignore"):
                     same = [(int(mix(s).sum(dtype=np.uint64).astype(np.int64)), int(mix(s ^ _U(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).astype(np.int64))) == k for s, k in zip(sets, zip(rows["k1"][a:b], rows["k2"][a:b], strict=True), strict=True)]
                 yield pa.RecordBatch.from_pydict({"rep": pa.array([r for r, x in zip(rows["rep"][a:b], same, strict=True) if x], pa.int64()), "items": pa.array([s.view(np.int64) for s, x in zip(sets, same, strict=True) if x], pa.list_(pa.int64()))})

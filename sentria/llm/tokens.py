@@ -153,8 +153,18 @@ def encoder(path: str) -> PieceEncoder:
 
 
 def forget() -> None:
-    """Drop this worker's encoders; operators that follow in the same worker need the memory."""
+    """Drop this worker's encoders and give freed memory back to the system; operators that follow in the same worker need it."""
+    import ctypes
+
+    import pyarrow as pa
+
     _encoders.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:  # freed blocks stay with the C library otherwise
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not this C library
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -175,3 +185,18 @@ def text_groups(texts: list[str | None], most: int = 4_000_000):
         size += n
     if begin < len(texts):
         yield begin, len(texts)
+
+
+def column_groups(texts, most: int = 4_000_000):
+    """:func:`text_groups` of an Arrow column, by bytes; only a group's texts need to become Python strings."""
+    import pyarrow.compute as pc
+
+    begin, size = 0, 0
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        n = n or 0
+        if size and size + n > most:
+            yield begin, i
+            begin, size = i, 0
+        size += n
+    if begin < len(texts):
+        yield begin, len(texts)

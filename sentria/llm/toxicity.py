@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentria.llm.tokens import forget, text_groups
+from sentria.llm.tokens import column_groups, forget
 from sentria.runtime import materialize, read_table, release, ship, spread
 
 SAMPLE = 8000
@@ -163,7 +163,7 @@ class Matcher:
             known[t] = self.kind(t)
         marked = {t for t in set(tokens) if known[t]}
         out = [(i, *known[t]) for i, t in enumerate(tokens) if t in marked] if marked else []
-        if len(known) > 200_000:
+        if len(known) > 100_000:
             known.clear()
         return out
 
@@ -364,10 +364,9 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
         forget()
         matcher = model.lexicon.matcher()
         for batch in batches:
-            texts = batch.column(place).to_pylist()
             flags = []
-            for a, b in text_groups(texts):
-                flags += [model.score(matcher.features(t)) < THRESHOLD for t in texts[a:b]]
+            for a, b in column_groups(batch.column(place)):
+                flags += [model.score(matcher.features(t)) < THRESHOLD for t in batch.column(place).slice(a, b - a).to_pylist()]
             yield batch.filter(pa.array(flags, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
