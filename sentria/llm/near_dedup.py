@@ -33,6 +33,7 @@ BANDS, ROWS = 40, 5
 SMALL = 30
 #: Items that an entry of the prefix search carries along, so that a pair of sets meets at few of its common items.
 BEFORE = 24
+COUNTERS = 1 << 20
 _U = np.uint64
 #: With its doc_id, tells a text from others of the same doc_id.
 _PRINT = "xxhash64(text)"
@@ -151,20 +152,36 @@ def _apart(state: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 def _by_prefix(wide: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components that can still be links, among the classes ``wide(rep, n, component)``.
 
-    With a set's items in ascending order of frequency, two sets of the wanted similarity share one of their first
+    With a set's items in one order of all, the rarer first, two sets of the wanted similarity share one of their first
     n - ceil(percent * n / 100) + 1 items, and what stands before the first shared one is missing in the other. Both bounds are
-    exact. Classes whose rare items are their own, as edited copies have, meet nobody.
+    exact in any order; rare items first make few meet. How rare an item is is read from counts by COUNTERS buckets of its hash, a table
+    of a fixed size that every task holds. Classes whose rare items are their own, as edited copies have, meet nobody.
     """
-    items = sets.join(wide, "rep").select("rep", "n", "component", F.explode("items").alias("item"))
-    common = items.groupBy("item").agg(F.count("*").alias("df"))
-    common = materialize(common, "item-counts")
-    ordered = items.join(common, "item").groupBy("rep", "n", "component").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("x"))
-    prefix = F.slice("x", 1, (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
-    shared = F.filter(F.transform(prefix, lambda y, i: F.struct(i.alias("place"), y["item"].alias("item"), y["df"].alias("df"))), lambda y: y["df"] > 1)
-    placed = ordered.select("rep", "n", "component", shared.alias("all")).select("rep", "n", "component", "all", F.posexplode("all").alias("k", "y"))
-    # the shared items right before: a pair that has one of them in common has met there
-    before = F.transform(F.slice("all", F.greatest(F.col("k") - BEFORE, F.lit(0)) + 1, F.least(F.col("k"), F.lit(BEFORE))), lambda y: y["item"])
-    entries = materialize(placed.select("rep", "n", "component", "y.place", "y.item", before.alias("before")), "prefixes")
+    held = materialize(sets.join(wide, "rep").select("rep", "n", "component", "items"), "wide-sets")
+    counted = held.select(F.explode("items").alias("item")).groupBy(F.pmod("item", F.lit(COUNTERS)).alias("b")).agg(F.count("*").alias("df")).toArrow()
+    df = np.zeros(COUNTERS, dtype=np.int64)
+    df[counted.column("b").to_numpy()] = counted.column("df").to_numpy()
+    sent = sets.sparkSession.sparkContext.broadcast(df)
+
+    def run(batches):
+        import pyarrow as pa
+
+        names = ("rep", "n", "component", "place", "item", "before")
+        for batch in batches:
+            out: list[list] = [[] for _ in names]
+            for rep, n, component, items in zip(*(batch.column(i) for i in range(4)), strict=True):
+                x = items.values.to_numpy(zero_copy_only=False)
+                often = sent.value[x % COUNTERS]
+                order = np.lexsort((x, often))[: len(x) + (-percent * len(x)) // 100 + 1]
+                places = np.flatnonzero(often[order] > 1)
+                shared = x[order][places].tolist()
+                for k, (place, item) in enumerate(zip(places.tolist(), shared, strict=True)):
+                    # the shared items right before: a pair that has one of them in common has met there
+                    for column, value in zip(out, (rep.as_py(), n.as_py(), component.as_py(), place, item, shared[max(0, k - BEFORE) : k]), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.list_(pa.int64()) if c == "before" else pa.int64()) for c, v in zip(names, out, strict=True)})
+
+    entries = materialize(held.mapInArrow(run, "rep long, n long, component long, place long, item long, before array<long>"), "prefixes")
     a = entries.select("item", F.col("rep").alias("u"), F.col("n").alias("nu"), F.col("component").alias("cu"), F.col("place").alias("pu"), F.col("before").alias("bu"))
     b = entries.select("item", F.col("rep").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"), F.col("place").alias("pv"), F.col("before").alias("bv"))
     enough = (100 + percent) * F.least(F.col("nu") - F.col("pu"), F.col("nv") - F.col("pv")) >= percent * (F.col("nu") + F.col("nv"))
