@@ -19,7 +19,7 @@ ODD = [
     (8, "", "en", "code"),
 ]
 #: Queries whose results followed the places of sentences that differed from the SQL.
-QUERIES = ["explode_sentences", "gold_units", "projection"]
+QUERIES = ["explode_sentences", "gold_units", "projection", "repeated_sentences"]
 
 
 @pytest.fixture(scope="module")
