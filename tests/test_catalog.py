@@ -19,7 +19,7 @@ ODD = [
     (8, "", "en", "code"),
 ]
 #: Queries whose results followed the places of sentences that differed from the SQL.
-QUERIES = ["explode_sentences", "gold_units", "projection", "repeated_sentences", "sentence_statistics", "split_mode_compare", "tiling_length", "context_window", "profile_comparison", "protected_periods"]
+QUERIES = ["explode_sentences", "gold_units", "projection", "repeated_sentences", "sentence_statistics", "split_mode_compare", "tiling_length", "context_window", "profile_comparison", "protected_periods", "sentences_clean"]
 
 
 @pytest.fixture(scope="module")
