@@ -248,13 +248,14 @@ def gold_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def treebank_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences written in the treebank format, a file a language, and read back."""
+    """Sentences written in the treebank format, a folder a language, and read back: how many there are, and the characters of their text."""
     folder = new_path(spark, "treebank")
-    rows = _gold(spark, sf_dir).select("language", "unit_id", F.posexplode("gold").alias("n", "sent")).withColumn("sent", F.regexp_replace("sent", r"\s+", " "))
+    rows = _gold(spark, sf_dir).select("language", F.explode("gold").alias("sent")).withColumn("sent", F.regexp_replace("sent", r"\s+", " "))
     lines = rows.select("language", F.concat(F.lit("# text = "), "sent", F.lit("\n1\t_\t_\n")).alias("value"))
-    lines.repartition("language").write.partitionBy("language").text(folder)
-    units = readers.conll_u(spark, f"{folder}/language=*", "xx")
-    return units.select(F.size("gold").alias("n_sentences"), F.length("text").alias("n_chars"))
+    lines.write.option("maxRecordsPerFile", 100_000).partitionBy("language").text(folder)
+    units = readers.conll_u(spark, folder, "xx").select(F.regexp_extract("unit_id", "/language=([^/]*)/", 1).alias("language"), F.size("gold").alias("n"), F.length("text").alias("c"))
+    # units of a language are joined by a blank each
+    return units.groupBy("language").agg(F.sum("n").cast("int").alias("n_sentences"), (F.sum("c") + F.count("*") - 1).cast("int").alias("n_chars")).drop("language")
 
 
 def plain_units(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sentria.operators.corpus import paragraphs
@@ -32,12 +32,21 @@ def plain_units(docs: DataFrame, corpus: str, genre: str, language: str, unit: s
     return rows.select(F.lit(corpus).alias("corpus"), F.lit(genre).alias("genre"), F.lit(language).alias("language"), F.concat_ws("#", unit, "paragraph_id").alias("unit_id"), F.col("paragraph").alias("text"), F.lit(None).cast("array<string>").alias("gold"))
 
 
-def conll_u(spark: SparkSession, path: str, language: str) -> DataFrame:
-    """Sentences of CoNLL-U files from their ``# text`` lines, one unit a file."""
-    lines = F.split("value", "\n")
-    found = F.transform(F.filter(lines, lambda x: x.startswith("# text = ")), lambda x: F.substring(x, 10, 1 << 30))
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("unit_id"), found.alias("gold"))
-    return files.select(F.lit("ud").alias("corpus"), F.lit("treebank").alias("genre"), F.lit(language).alias("language"), "unit_id", F.array_join("gold", " ").alias("text"), "gold")
+def conll_u(spark: SparkSession, path: str, language: str, most: int = 5) -> DataFrame:
+    """Units of ``most`` consecutive sentences at most from the ``# text`` lines of CoNLL-U files; a new paragraph or document begins a unit.
+
+    Files are read line by line in splits, so neither a file nor its text has to fit into a row. A file's sentences are sorted by place.
+    """
+    place = F.struct("_metadata.file_block_start", F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), place.alias("place"), "value")
+    marked = lines.where(F.col("value").startswith("# text = ") | F.col("value").rlike("^# new(par|doc)"))
+    order = Window.partitionBy("file").orderBy("place")
+    is_text = F.col("value").startswith("# text = ")
+    pars = marked.withColumn("par", F.sum((~is_text).cast("long")).over(order)).where(is_text)
+    numbered = pars.withColumn("n", F.row_number().over(Window.partitionBy("file", "par").orderBy("place")) - 1)
+    found = numbered.groupBy("file", "par", F.floor(F.col("n") / most).alias("part")).agg(F.array_sort(F.collect_list(F.struct("n", F.substring("value", 10, 1 << 30).alias("sent")))).alias("sents"))
+    gold = found.select(F.concat_ws("#", "file", "par", "part").alias("unit_id"), F.transform("sents", lambda x: x["sent"]).alias("gold"))
+    return gold.select(F.lit("ud").alias("corpus"), F.lit("treebank").alias("genre"), F.lit(language).alias("language"), "unit_id", F.array_join("gold", " ").alias("text"), "gold")
 
 
 def deltas(spark: SparkSession, path: str, schema: str = "stream_id long, seq long, delta string") -> DataFrame:
