@@ -23,10 +23,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sentria.llm.tokens import END_ID, encoder, text_groups, vocabulary
+from sentria.llm.tokens import END_ID, PieceEncoder, column_groups, encoder, vocabulary
 from sentria.runtime import materialize, read_table, ship, spread
 
 CAPACITY = 1024
+#: Texts that a worker encodes together, and rows that reach it together; both bound memory only.
+GROUP_BYTES, BATCH_ROWS = 1_000_000, 2000
 PIECE = "bucket int, k long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 Pattern = dict[int, int]
 
@@ -152,29 +154,34 @@ def power_cuts(size: int) -> list[int]:
     return ends
 
 
+def cut_batches(batches, bucket: int, bpe: PieceEncoder, capacity: int):
+    """Batches of ``PIECE`` rows of batches of (doc_id, text); a group's texts alone become Python strings at a time."""
+    import pyarrow as pa
+
+    seen: Counter = Counter()
+    end = np.array([END_ID], dtype="<u4").tobytes()
+    types = {"doc_id": pa.int64(), "ids": pa.binary()}
+    for batch in batches:
+        keys, texts = batch.column(0).to_pylist(), batch.column(1)
+        for a, b in column_groups(texts, GROUP_BYTES):
+            out: dict[str, list] = {c: [] for c in ("k", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")}
+            for key, raw in zip(keys[a:b], bpe.encode_many(texts.slice(a, b - a).to_pylist()), strict=True):
+                raw += end
+                n = len(raw) // 4
+                for at in range(0, n, capacity):
+                    part = raw[4 * at : 4 * (at + capacity)]
+                    size = len(part) // 4
+                    for c, v in zip(out, (seen[size], key, at, size, zlib.crc32(part), n, part if size < capacity else None), strict=True):
+                        out[c].append(v)
+                    seen[size] += 1
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket] * len(out["k"]), pa.int32())} | {c: pa.array(v, types.get(c, pa.int64())) for c, v in out.items()})
+
+
 def _pieces(docs: DataFrame, tokenizer_path: str, capacity: int) -> DataFrame:
     def run(batches):
-        import pyarrow as pa
         from pyspark import TaskContext
 
-        bucket, bpe = TaskContext.get().partitionId(), encoder(tokenizer_path)
-        seen: Counter = Counter()
-        end = np.array([END_ID], dtype="<u4").tobytes()
-        for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in text_groups(texts):
-                out: dict[str, list] = {c: [] for c in ("k", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")}
-                for key, raw in zip(keys[a:b], bpe.encode_many(texts[a:b]), strict=True):
-                    raw += end
-                    n = len(raw) // 4
-                    for at in range(0, n, capacity):
-                        part = raw[4 * at : 4 * (at + capacity)]
-                        size = len(part) // 4
-                        for c, v in zip(out, (seen[size], key, at, size, zlib.crc32(part), n, part if size < capacity else None), strict=True):
-                            out[c].append(v)
-                        seen[size] += 1
-                types = {"doc_id": pa.int64(), "ids": pa.binary()}
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket] * len(out["k"]), pa.int32())} | {c: pa.array(v, types.get(c, pa.int64())) for c, v in out.items()})
+        yield from cut_batches(batches, TaskContext.get().partitionId(), encoder(tokenizer_path), capacity)
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return plain.mapInArrow(run, PIECE)
@@ -184,7 +191,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAP
     """A row per piece of ``docs(doc_id, text)``: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
     ship(spark)
-    pieces = materialize(_pieces(docs, tokenizer_path or vocabulary(), capacity), "pieces")
+    pieces = materialize(_pieces(docs, tokenizer_path or vocabulary(), capacity), "pieces", BATCH_ROWS)
     counts = pieces.groupBy("bucket", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = materialize(counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "piece-bases")

@@ -22,7 +22,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentria.llm.tokens import text_groups
+from sentria.llm.tokens import column_groups, forget
 from sentria.runtime import read_table, ship, spread
 
 KINDS = ("email", "ip", "card", "phone")
@@ -368,15 +368,16 @@ def mask_personal_data(docs: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        forget()
         for batch in batches:
-            texts = batch.column(place).to_pylist()
-            for a, b in text_groups(texts):
+            for a, b in column_groups(batch.column(place), 1_000_000):
                 part = batch.slice(a, b - a)
-                new = [masked(t, find_spans(t, weights)[1]) for t in texts[a:b]]
+                texts = part.column(place).to_pylist()
+                new = [masked(t, find_spans(t, weights)[1]) for t in texts]
                 columns = list(part.columns)
                 columns[place] = pa.array(new, part.schema.field(place).type)
                 if length is not None:
-                    columns[length] = pa.array([o if x == t else len(x) for t, x, o in zip(texts[a:b], new, columns[length].to_pylist(), strict=True)], part.schema.field(length).type)
+                    columns[length] = pa.array([o if x == t else len(x) for t, x, o in zip(texts, new, columns[length].to_pylist(), strict=True)], part.schema.field(length).type)
                 yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
 
     return docs.mapInArrow(run, docs.schema)

@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 import zlib
 
 import corpus_pipeline
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from sentria.llm import packing
 from sentria.llm.tokens import PieceEncoder, vocabulary
+from sentria.runtime import ARROW_ROWS, materialize
 from tests.llm.test_operators import SCHEMA, docs, prose
 
 
@@ -38,3 +44,34 @@ def test_stages(spark, tmp_path):
     raw = {i: encoder.encode_many([t or ""])[0] + b"\0\0\0\0" for i, t in left.items()}
     assert {p.doc_id for p in pieces} == kept and sum(p.length for p in pieces) == sum(len(x) // 4 for x in raw.values())
     assert all(zlib.crc32(raw[p.doc_id][4 * p.start : 4 * (p.start + p.length)]) == p.ids_crc32 for p in pieces)
+
+
+def test_packing_holds_few_texts_at_a_time():
+    class Short:
+        def encode_many(self, texts):
+            return [zlib.crc32(t.encode()).to_bytes(4, "little") for t in texts]
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(400), pa.int64()), "text": [f"{i} " + "word " * 20_000 for i in range(400)]})
+    tracemalloc.start()
+    rows = [r for out in packing.cut_batches([batch], 3, Short(), 1024) for r in out.to_pylist()]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [r["doc_id"] for r in rows] == list(range(400)) and {(r["bucket"], r["length"], r["doc_tokens"]) for r in rows} == {(3, 2, 2)}
+    assert most < 5_000_000  # 40 MB of texts; a group of them is 1 MB
+
+
+def test_rows_of_an_arrow_batch_are_bounded_and_the_setting_is_put_back(spark):
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    sizes = spark.range(0, 5000, 1, 1).mapInArrow(run, "n long")
+    before = spark.conf.get(ARROW_ROWS, None)
+    assert materialize(sizes, "sizes", 2000).agg(F.max("n"), F.sum("n")).first() == (2000, 5000)
+    assert spark.conf.get(ARROW_ROWS, None) == before
+    spark.conf.set(ARROW_ROWS, "700")  # a smaller one of the user's holds
+    try:
+        assert materialize(sizes, "sizes", 2000).agg(F.max("n"), F.sum("n")).first() == (700, 5000)
+        assert spark.conf.get(ARROW_ROWS) == "700"
+    finally:
+        spark.conf.unset(ARROW_ROWS) if before is None else spark.conf.set(ARROW_ROWS, before)
