@@ -498,6 +498,49 @@ def test_substring_dedup_of_frequent_lines(spark):
     assert all((x.start, x.end, x.n_words, x.identity) == (30, 86, 56, 1.0) for x in got.values())
 
 
+def test_substring_dedup_aligns_pairs_with_one_seed(spark):
+    r = random.Random(31)
+    rows = []
+    for k in range(40):  # a pair each with a passage in which every sixth word is changed
+        base = prose(r, 72).split()
+        other = [f"z{k}z{i}" if i % 6 == 5 else x for i, x in enumerate(base)]
+        rows += [(2 * k, f"{prose(r, 40)} {' '.join(base)} {prose(r, 40)}"), (2 * k + 1, f"{prose(r, 90)} {' '.join(other)} {prose(r, 20)}")]
+    want = set()
+    for (i, x), (j, y) in zip(rows[::2], rows[1::2], strict=True):
+        w = substring_dedup.Words([x, y], substring_dedup.ALNUM)
+        grams, inside = w.grams(substring_dedup.GRAM)
+        at = substring_dedup.winnow(grams, inside, w.doc, substring_dedup.GRAM, substring_dedup.WINDOW)
+        seeds = [[(int(grams[p]), int(p - w.first[d])) for p in at if w.doc[p] == d] for d in (0, 1)]
+        if any(g == h and abs(p - q) == 50 for g, p in seeds[0] for h, q in seeds[1]):
+            want |= {(i, j), (j, i)}
+    got = substring_dedup.repeated_passages(docs(spark, rows)).collect()
+    assert len(want) > 20 and {(x.doc_id, x.other_id) for x in got} == want
+    assert all(x.n_words >= 50 and x.identity >= 0.8 for x in got)
+
+
+def test_context_of_a_seed_loses_no_passage():
+    r = random.Random(32)
+    c, gram, told = substring_dedup.CONTEXT, substring_dedup.GRAM, []
+    for _ in range(300):
+        share, n = r.choice((4, 5, 6, 8, 12)), r.choice((30, 49, 50, 56, 64, 90, 200))
+        base = prose(r, n).split()
+        other = [x if i % share else r.choice(([], [x, "new"], ["new"])) for i, x in enumerate(base)]
+        other = [y for x in other for y in ([x] if isinstance(x, str) else x)]
+        a, b = ([*prose(r, r.choice((0, 3, 100))).split(), *x, *prose(r, r.choice((0, 3, 100))).split()] for x in (base, other))
+        for p in range(len(a) - gram):
+            q = next((q for q in range(len(b) - gram + 1) if b[q : q + gram] == a[p : p + gram]), None)
+            if q is not None:
+                break
+        else:
+            continue
+        (u, v), (x, y) = ((max(0, z - c), min(len(t), z + gram + c)) for z, t in ((p, a), (q, b)))
+        may = substring_dedup.may_hold(a[u:v], p - u, (u == 0, v == len(a)), b[x:y], q - x, (x == 0, y == len(b)))
+        holds = bool(substring_dedup.passages(a, b, [(p, q)], []))
+        told.append((may, holds))
+        assert may or not holds
+    assert {x for x, _ in told} == {True, False} and any(x for _, x in told)
+
+
 def test_exact_runs_survive_unlike_neighbours():
     r = random.Random(8)
     run, a, b = prose(r, 52).split(), prose(r, 60).split(), prose(r, 60).split()
