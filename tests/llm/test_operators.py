@@ -541,6 +541,49 @@ def test_context_of_a_seed_loses_no_passage():
     assert {x for x, _ in told} == {True, False} and any(x for _, x in told)
 
 
+def test_substring_dedup_moves_texts_packed_and_once(spark, monkeypatch):
+    r = random.Random(33)
+    shared, line = prose(r, 300), prose(r, 16)  # every 16 words hold a seed
+    rows = [(i, f"{prose(r, 40)} {shared} {prose(r, 40)}") for i in range(4)] + [(i, f"{prose(r, 300)} {line} {prose(r, 300)}") for i in range(4, 8)]
+    plans, sizes, own = {}, {}, substring_dedup.materialize
+
+    def materialize(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        out = own(df, name)
+        if name == "texts":
+            sizes.update({x[0]: len(x["words"]) for x in out.collect()})
+        return out
+
+    monkeypatch.setattr(substring_dedup, "materialize", materialize)
+    got = substring_dedup.repeated_passages(docs(spark, rows)).collect()
+    assert {x.doc_id for x in got} == {0, 1, 2, 3} and all(x.n_words >= 300 for x in got)
+    assert all("Exchange" not in plans[name] for name in ("windows", "contexts"))  # both are read off the texts where they are
+    assert len(sizes) == 8 and sum(sizes.values()) < 0.6 * sum(len(t) for _, t in rows)
+
+
+def test_packed_words_are_the_words():
+    for t in ("Ab é1 X--y\n\tz 日本 a\x7fb\x85q \xa0 w'", "", "...", "A" * 500 + "\0b"):
+        assert substring_dedup.unpack(substring_dedup.pack(t)).split() == re.findall(rb"[0-9a-z\x80-\xff]+", t.encode().lower())
+
+
+def test_common_words_and_winnowed_grams_as_defined():
+    r = random.Random(34)
+    for _ in range(200):
+        a, b = ([r.randint(0, 6) for _ in range(r.randint(0, 30))] for _ in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        assert substring_dedup._common(a, b) == table[-1][-1]
+        n, w = r.randint(0, 40), r.choice((1, 2, 5, 12))
+        grams = np.array([r.randint(0, 9) for _ in range(n)], dtype=np.uint64)
+        doc = np.array(sorted(r.randint(0, 2) for _ in range(n)), dtype=np.int64)
+        inside = np.array([r.random() < 0.9 for _ in range(n)], dtype=bool)
+        windows = [range(i, i + w) for i in range(n - w + 1) if inside[i] and inside[i + w - 1] and doc[i] == doc[i + w - 1]]
+        want = sorted({j for x in windows for j in x if grams[j] == min(grams[k] for k in x)})
+        assert substring_dedup.winnow(grams, inside, doc, 5, w).tolist() == want
+
+
 def test_exact_runs_survive_unlike_neighbours():
     r = random.Random(8)
     run, a, b = prose(r, 52).split(), prose(r, 60).split(), prose(r, 60).split()
