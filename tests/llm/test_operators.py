@@ -5,11 +5,13 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
 
+from sentria import runtime
 from sentria.llm import binary_output, decontamination, html_extraction, license_scan, near_dedup, packing, pii, substring_dedup, toxicity, vector_search
 from sentria.llm.tokens import PieceEncoder, vocabulary
 
@@ -561,6 +563,19 @@ def test_substring_dedup_moves_texts_packed_and_once(spark, monkeypatch):
     assert len(sizes) == 8 and sum(sizes.values()) < 0.6 * sum(len(t) for _, t in rows)
 
 
+def test_substring_dedup_frees_the_shuffles_of_its_steps(spark):
+    r = random.Random(35)
+    shared = prose(r, 60)
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: set(re.findall(r"shuffle_\d+", disk.getAllFiles().mkString(" ")))
+    before = files()
+    substring_dedup.repeated_passages(docs(spark, [(i, f"{prose(r, 9)} {shared}") for i in range(4)]))
+    end = time.time() + 10
+    while not files() <= before and time.time() < end:
+        time.sleep(0.2)
+    assert files() <= before and spark.conf.get(runtime.SHUFFLE_CLEANUP, None) in (None, "false")
+
+
 def test_packed_words_are_the_words():
     for t in ("Ab é1 X--y\n\tz 日本 a\x7fb\x85q \xa0 w'", "", "...", "A" * 500 + "\0b"):
         assert substring_dedup.unpack(substring_dedup.pack(t)).split() == re.findall(rb"[0-9a-z\x80-\xff]+", t.encode().lower())
